@@ -7,7 +7,6 @@ judge is rejected if the Jensen-Shannon distance of either histogram from its la
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +14,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import cut
@@ -94,20 +93,17 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int]]
             for k in range(3):
                 covered[k : n - 2 + k] |= often
             repeated = int(covered.sum())
-    found = Counter(w for w in map(_bare, words) if w in PLACE)
     common = [0] * (len(WORDS) + 1)
-    for w, k in found.items():
-        common[PLACE[w]] = k
-    common[-1] = n - sum(found.values())
+    for place in map(PLACE.get, text.translate(PLAIN_BYTE).split()):
+        if place is not None:
+            common[place] += 1
+    common[-1] = max(0, n - sum(common))
     return n, word_chars, n_symbols, n_dup_lines, repeated, classes.tolist(), common
 
 
 PLACE = {w.encode(): i for i, w in enumerate(WORDS)}
-_EDGE = b".,;:!?'\"()"
-
-
-def _bare(word: bytes) -> bytes:
-    return word.strip(_EDGE).lower()
+#: Lower case, and white space for the marks at a word's edges.
+PLAIN_BYTE = bytes(ord(" ") if chr(b) in ".,;:!?'\"()" else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -129,19 +125,16 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return df.select(F.col(id_col), F.col(text_col), known.alias("language")).mapInArrow(run, schema)
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) of two histograms; 0 where one of them is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-
-    def half(pair: Column) -> Column:
-        x, y = pair["x"] / pair["px"], pair["y"] / pair["qx"]
-        return (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2
-
-    sp, sq = total(p), total(q)
-    pairs = F.zip_with(p, q, lambda x, y: F.struct(x.alias("x"), y.alias("y"), sp.alias("px"), sq.alias("qx")))
-    divergence = F.aggregate(F.transform(pairs, half), F.lit(0.0), lambda s, x: s + x)
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(0.0))
+def js_distance(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Square root of the Jensen-Shannon divergence (base 2) of each row from the reference; 0 where one of them is empty."""
+    total = histograms.sum(axis=1, keepdims=True)
+    if not reference.sum():
+        return np.zeros(len(histograms))
+    p = histograms / np.maximum(total, 1)
+    q = np.broadcast_to(reference / reference.sum(), p.shape)
+    middle = (p + q) / 2
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(middle > 0, middle, 1)), 0).sum(axis=1)
+    return np.where(total[:, 0] > 0, np.sqrt(np.maximum((part(p) + part(q)) / 2, 0)), 0)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
@@ -151,7 +144,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     words in three-word windows that occur twice), else whether both distances are within the limits; the one of
     common words is guarded by ``guard_words``. A null text has no words; a null or unknown language is "other".
     Repeated rows are judged one by one. An empty table gives no row. Other columns aren't read. The references come
-    from all documents that pass the base rules, one row for each of five languages, so they may be broadcast.
+    from all documents that pass the base rules: one row for each of five languages, whatever the size of the table.
     """
     stats = cut(statistics(df, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat * F.col("n_words"))
@@ -159,9 +152,22 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sums += [F.sum(F.get("common", F.lit(i))).cast("double").alias(f"w{i}") for i in range(len(WORDS) + 1)]
     reference = stats.filter(~failed).groupBy(F.col("language").alias("of")).agg(*sums)
     reference = reference.select("of", F.array(*(f"c{i}" for i in range(CLASSES))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(len(WORDS) + 1))).alias("ref_common"))
-    joined = stats.join(F.broadcast(reference), F.col("language") == F.col("of"), "left")
-    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    far = lambda mine, theirs: F.coalesce(js_distance(doubles(mine), F.col(theirs)), F.lit(0.0))
-    measured = joined.select(F.col(id_col), *COUNTS, failed.alias("base_failed"), far("classes", "ref_classes").alias("js_classes"), F.when(F.col("n_words") >= limits.guard_words, far("common", "ref_common")).otherwise(F.lit(0.0)).alias("js_words"))
-    kept = ~F.col("base_failed") & (F.col("js_classes") <= limits.js_classes) & (F.col("js_words") <= limits.js_words)
-    return measured.select(id_col, *COUNTS, "base_failed", kept.alias("kept"), "js_classes", "js_words")
+    references = {r["of"]: (np.array(r["ref_classes"]), np.array(r["ref_common"])) for r in reference.collect()}  # five rows at most
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            own = [np.array(batch.column(i).to_pylist(), np.float64).reshape(n, -1) for i in (7, 8)]
+            out = [np.zeros(n), np.zeros(n)]
+            language = np.array(batch.column(1).to_pylist(), object)
+            for name, reference in references.items():
+                at = np.flatnonzero(language == name)
+                for k in (0, 1):
+                    out[k][at] = js_distance(own[k][at], reference[k])
+            out[1][np.array(batch.column(2).to_pylist()) < limits.guard_words] = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 7)), *map(pa.array, out)], names=[id_col, *COUNTS, "js_classes", "js_words"])
+
+    kind = dict(df.dtypes)[id_col]
+    measured = stats.mapInArrow(distances, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", js_classes double, js_words double")
+    kept = ~failed & (F.col("js_classes") <= limits.js_classes) & (F.col("js_words") <= limits.js_words)
+    return measured.select(id_col, *COUNTS, failed.alias("base_failed"), kept.alias("kept"), "js_classes", "js_words")
