@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files that only led to this table
     out = spark.read.schema(df.schema).parquet(path)
     out._lineweave_path = path
     return out
