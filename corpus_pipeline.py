@@ -1,12 +1,73 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: from documents to packed sequences, in five stages that each call one operator.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. Repeated rows and rows without an id go through every
+stage: rows are told apart by a hash of what they hold, never by their id alone.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lineweave.llm.common import cut, read
+from lineweave.llm.jaccard_join import join_groups
+from lineweave.llm.line_dedup import drop_boilerplate
+from lineweave.llm.packing import pack_documents
+from lineweave.llm.quality_rules import judge
+from lineweave.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. The verdict depends on text and language alone, so equal rows share it."""
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text", "lang"))
+    rejected = judge(keyed, "row_key").filter(~F.col("kept")).select("row_key").distinct()
+    return keyed.join(rejected, "row_key", "left_anti").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that a large share of their source's documents repeat."""
+    return _with_length(drop_boilerplate(docs.select(*COLUMNS), "source"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id."""
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    groups = cut(join_groups(keyed, "row_key").distinct(), "groups")
+    least = keyed.select("doc_id", "row_key").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    stay = keyed.join(least.select("row_key"), "row_key", "left_semi")
+    # rows that are the same in id and text share a key
+    once = stay.withColumn("copy", F.row_number().over(W.partitionBy("row_key").orderBy("row_key")))
+    return once.filter("copy = 1").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 400 bytes or more that also stand elsewhere."""
+    cleaned = remove_repeats(docs, keep=("lang", "source"), give_text=True)
+    return _with_length(cleaned.withColumnRenamed("kept_text", "text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near copies", near_copies), ("repeats", repeats), ("packing", packing)]
 
-STAGES: list = []
+#: Groups of near copies need reachability over all documents, repeats every 400-byte string, and packing a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -179,7 +179,7 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     An empty table gives no row. Other columns aren't read.
     """
     text = text_or_empty(text_col)
-    docs = df.select(F.col(id_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("own_text"))
+    docs = df.select(F.col(id_col).alias("given"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("own_text"))
     kind = dict(df.dtypes)[id_col]
     shared = df.sparkSession.sparkContext.broadcast(frequent_cells(docs))  # CELLS bits
 
@@ -194,15 +194,15 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     rows.append((0, None, *[None] * KEYS, None))
             kinds = [pa.int64(), pa.binary(), *[pa.int64()] * KEYS, pa.list_(pa.int64())]
             columns = [*zip(*rows, strict=True)] or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *map(pa.array, columns, kinds)], names=[id_col, "id", "row_key", "n_shingles", "digest", *key_names, "prefix"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *map(pa.array, columns, kinds)], names=["given", "id", "row_key", "n_shingles", "digest", *key_names, "prefix"])
 
     key_names = [f"key{k}" for k in range(KEYS)]
-    described = cut(docs.mapInArrow(describe, f"`{id_col}` {kind}, id long, row_key long, n_shingles long, digest binary, " + "".join(f"{k} long, " for k in key_names) + "prefix array<long>"), "sets")
+    described = cut(docs.mapInArrow(describe, f"given {kind}, id long, row_key long, n_shingles long, digest binary, " + "".join(f"{k} long, " for k in key_names) + "prefix array<long>"), "sets")
     whole = described.filter("digest is not null and id is not null")
     # equal sets have equal prefixes and keys, so any row's will do; node numbers are fixed once the table is written
     classes = whole.groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "row_key")).alias("of"), F.any_value("n_shingles").alias("n"), *(F.any_value(k).alias(k) for k in key_names), F.any_value("prefix").alias("prefix"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    slim = cut(described.select(id_col, "id", "n_shingles", "digest"), "sizes")
+    slim = cut(described.select("given", "id", "n_shingles", "digest"), "sizes")
     drop_cut(described)
 
     postings = classes.select("rep", "n", F.explode("prefix").alias("token"))
@@ -244,11 +244,12 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     head_of = lambda c, name: heads.select(F.col("rep").alias(c), F.col("head").alias(name))
     roots = smallest_reachable(links.join(head_of("asked", "a"), "asked").join(head_of("member", "b"), "member").select("a", "b"))
     final = heads.join(roots, F.col("head") == F.col("node"), "left").select(F.col("rep").alias("of"), F.coalesce("root", "head").alias("root"))
-    grouped = classes.select("digest", "least_id", "rep").join(final, F.col("rep") == F.col("of"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root"))
+    numbers = cut(classes.select("digest", "least_id", "rep"), "numbers")
+    grouped = numbers.join(final, F.col("rep") == F.col("of"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root"))
     smallest = grouped.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component"))
     component = grouped.join(smallest, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component")
-    out = slim.join(component, F.col("digest") == F.col("d"), "left").select(F.col(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast(kind).alias("component_id"))
-    drop_cut(postings, placed, ask, texts, links)
+    out = slim.join(component, F.col("digest") == F.col("d"), "left").select(F.col("given").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast(kind).alias("component_id"))
+    drop_cut(classes, postings, placed, ask, texts, links)
     return out
 
 

@@ -121,14 +121,31 @@ def _removed(n: int, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def _finish(text: bytes, spans: list[np.ndarray]) -> tuple[int, int, str, bytes]:
-    start, end = _removed(len(text), spans)
+def without(text: bytes, pairs: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
-    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+    for s, e in pairs:
         kept.append(text[at:s])
-        at = e
-    kept = b"".join([*kept, text[at:]])
-    return int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), np.column_stack([start, end]).astype("<i8").tobytes()
+        at = max(at, e)
+    return b"".join([*kept, text[at:]])
+
+
+def whole_characters(text: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, widened so that a character of UTF-8 that loses a byte goes as a whole."""
+    out = []
+    for s, e in pairs:
+        while s > 0 and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        out.append((s, e))
+    return out
+
+
+def _finish(text: bytes, spans: list[np.ndarray]) -> tuple[int, int, str, bytes, str]:
+    start, end = _removed(len(text), spans)
+    pairs = [*zip(start.tolist(), end.tolist(), strict=True)]
+    digest = hashlib.sha256(without(text, pairs)).hexdigest()
+    return int((end - start).sum()), len(start), digest, np.column_stack([start, end]).astype("<i8").tobytes(), without(text, whole_characters(text, pairs)).decode(errors="ignore")
 
 
 def _pairs(data: bytes) -> np.ndarray:
@@ -141,21 +158,22 @@ def _known(found: list | None) -> dict[tuple[int, int], int]:
 
 _LONGS = pa.list_(pa.int64())
 #: What a text leaves behind: settled (n_removed on), or open (the text itself and its nodes).
-_STATE = [("row_key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("open_text", pa.binary()), *((c, _LONGS) for c in ("core", "hull", "weight", "place", "l0", "l1"))]
-_SQL = "row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, open_text binary, core array<long>, hull array<long>, weight array<long>, place array<long>, l0 array<long>, l1 array<long>"
+_STATE = [("row_key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("kept_text", pa.string()), ("open_text", pa.binary()), *((c, _LONGS) for c in ("core", "hull", "weight", "place", "l0", "l1"))]
+_SQL = "row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept_text string, open_text binary, core array<long>, hull array<long>, weight array<long>, place array<long>, l0 array<long>, l1 array<long>"
 
 
-def _emit(first: pa.Array, name: str, rows: list[tuple]) -> pa.RecordBatch:
+def _emit(part: pa.RecordBatch, kept: int, rows: list[tuple]) -> pa.RecordBatch:
     columns = [*zip(*rows, strict=True)] or [()] * len(_STATE)
-    return pa.RecordBatch.from_arrays([first, *(pa.array(c, t) for c, (_, t) in zip(columns, _STATE, strict=True))], names=[name, *(c for c, _ in _STATE)])
+    return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(kept)), *(pa.array(c, t) for c, (_, t) in zip(columns, _STATE, strict=True))], names=[*part.schema.names[:kept], *(c for c, _ in _STATE)])
 
 
-def _state(key: int, text: bytes, spans: list[np.ndarray], nodes: list[tuple[np.ndarray, ...]]) -> tuple:
+def _state(key: int, text: bytes, spans: list[np.ndarray], nodes: list[tuple[np.ndarray, ...]], give_text: bool) -> tuple:
     """A row of _STATE; nodes: (core, hull, weight, place, l0, l1) that are still open."""
     if not nodes:
-        return (key, len(text), *_finish(text, spans), None, *[None] * 6)
+        *settled, kept = _finish(text, spans)
+        return (key, len(text), *settled, kept if give_text else None, None, *[None] * 6)
     start, end = _removed(len(text), spans)
-    return (key, len(text), 0, 0, None, np.column_stack([start, end]).astype("<i8").tobytes(), text, *(np.concatenate(c) for c in zip(*nodes, strict=True)))
+    return (key, len(text), 0, 0, None, np.column_stack([start, end]).astype("<i8").tobytes(), None, text, *(np.concatenate(c) for c in zip(*nodes, strict=True)))
 
 
 class SuffixFamily:
@@ -202,8 +220,9 @@ def _exploded(state: DataFrame) -> DataFrame:
     return state.select("row_key", F.inline(F.arrays_zip("core", "hull", "weight")))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = 400, batches: int = 3) -> DataFrame:
-    """One row per row of df: (id, n_bytes, n_removed, n_spans, kept_sha256, spans).
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = 400, batches: int = 3, keep: tuple[str, ...] = (), give_text: bool = False) -> DataFrame:
+    """One row per row of df: (id, the columns named by keep, n_bytes, n_removed, n_spans, kept_sha256, spans), and
+    with give_text also kept_text, the text without the characters that lose a byte.
 
     Every byte that a string of ``match`` bytes covers which also starts anywhere else in the table (same text
     included, overlaps count) is removed; spans holds the maximal removed runs as little-endian 64-bit pairs (start,
@@ -212,9 +231,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no row. Other columns aren't read. Very long texts are looked at in chunks of a megabyte.
     """
     shape = Shape(match)
-    kind = dict(df.dtypes)[id_col]
+    kinds = dict(df.dtypes)
+    first_columns = [id_col, *keep]
+    carried, schema = len(first_columns), ", ".join(f"`{c}` {kinds[c]}" for c in first_columns) + f", {_SQL}"
     text = text_or_empty(text_col)
-    docs = df.select(F.col(id_col), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("own_text"))
+    docs = df.select(*(F.col(f"`{c}`") for c in first_columns), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("own_text"))
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -252,7 +273,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for key, body, found in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for key, body, found in zip(*(part.column(carried + i).to_pylist() for i in range(3)), strict=True):
                 spans, nodes = [], []
                 if known := _known(found):
                     place, l0, l1, low, high = cells(*anchors(body, shape), shape.wide, shape.span)
@@ -266,11 +287,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         wide = np.repeat(what[more], high[more] // shape.narrow - low[more] // shape.narrow + 1)
                         core, hull = digests(body, p, c0, c1, match)
                         nodes.append((core, hull, np.where(wide == 2, 2, 1), p, lo, hi))
-                rows.append(_state(key, body, spans, nodes))
-            yield _emit(part.column(0), id_col, rows)
+                rows.append(_state(key, body, spans, nodes, give_text))
+            yield _emit(part, carried, rows)
 
-    wide = docs.join(settle(repeated), "row_key", "left").select(id_col, "row_key", "own_text", "found")
-    first = cut(wide.mapInArrow(split, f"`{id_col}` {kind}, {_SQL}"), "split")
+    wide = docs.join(settle(repeated), "row_key", "left").select(*first_columns, "row_key", "own_text", "found")
+    first = cut(wide.mapInArrow(split, schema), "split")
     drop_cut(repeated)
 
     def single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +317,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     halves = _signed([x >> 64 for x in ones]), _signed([x & (1 << 64) - 1 or 1 for x in ones])
                     start = np.array(at, np.int64)
                     nodes.append((*halves, np.array(weights, np.int64), start, np.zeros_like(start), np.zeros_like(start)))
-                rows.append(_state(key, body, spans, nodes))
-            yield _emit(part.column(0), id_col, rows)
+                rows.append(_state(key, body, spans, nodes, give_text))
+            yield _emit(part, carried, rows)
 
     opened = first.filter(F.col("open_text").isNotNull())
     closer = opened.join(settle(_exploded(opened)), "row_key", "left")
-    second = cut(closer.select(id_col, "row_key", "open_text", "spans", "found", "core", "hull", "place", "l0", "l1").mapInArrow(single, f"`{id_col}` {kind}, {_SQL}"), "single")
+    second = cut(closer.select(*first_columns, "row_key", "open_text", "spans", "found", "core", "hull", "place", "l0", "l1").mapInArrow(single, schema), "single")
 
     def last(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -311,11 +332,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for key, body, spans, found, core, hull, place in zip(*map(column, ("row_key", "open_text", "spans", "found", "core", "hull", "place")), strict=True):
                 known = _known(found)
                 at = np.array([p for c, h, p in zip(core, hull, place, strict=True) if known.get((c, h), 0) > 0], np.int64)
-                rows.append(_state(key, body, [_pairs(spans), np.column_stack([at, at + match])], []))
-            yield _emit(part.column(0), id_col, rows)
+                rows.append(_state(key, body, [_pairs(spans), np.column_stack([at, at + match])], [], give_text))
+            yield _emit(part, carried, rows)
 
     windows = second.filter(F.col("open_text").isNotNull())
-    third = windows.join(settle(_exploded(windows)), "row_key", "left").select(id_col, "row_key", "open_text", "spans", "found", "core", "hull", "place").mapInArrow(last, f"`{id_col}` {kind}, {_SQL}")
-    done = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    third = windows.join(settle(_exploded(windows)), "row_key", "left").select(*first_columns, "row_key", "open_text", "spans", "found", "core", "hull", "place").mapInArrow(last, schema)
+    done = [*first_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept_text"] if give_text else [])]
     settled = lambda x: x.filter(F.col("open_text").isNull()).select(*done)
     return settled(first).unionByName(settled(second)).unionByName(third.select(*done))
