@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.scratch import cut, drop_cut, shared_folder
+
+__all__ = ["cut", "drop_cut", "read", "shared_folder", "shuffle_partitions", "small_side", "text_or_empty"]
+
 #: A side may be broadcast up to this many rows of two or three numbers (a few MB); beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -17,37 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine's own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.conf.get("lineweave.scratch", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="lineweave-")
-            spark.conf.set("lineweave.scratch", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: no lineage behind it, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that only led to this table
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lineweave_path = path
-    return out
-
-
-def drop_cut(*tables: DataFrame) -> None:
-    """Deletes tables of cut() that nothing will read any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._lineweave_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks df for broadcast if it has at most BROADCAST_ROWS rows (counted, unless the count is given); else leaves it to a shuffle join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
