@@ -15,6 +15,7 @@ from lineweave.llm.license_scan import scan
 from lineweave.llm.line_dedup import drop_boilerplate
 from lineweave.llm.packing import pack_documents
 from lineweave.llm.quality_rules import judge
+from lineweave.llm.sentencepiece_lattice import encode_documents
 from lineweave.llm.spot_signatures import fingerprints_and_edits
 from lineweave.llm.suffix_dedup import remove_repeats
 from lineweave.llm.token_counts import count_tokens
@@ -31,6 +32,10 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_and_edits(read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = drop_boilerplate(own, "source")
