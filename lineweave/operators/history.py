@@ -36,7 +36,7 @@ def scope_segments(bins: DataFrame, domain: int, modes: tuple[str, ...], mode: s
     distinct = bins.select("bin").distinct()
     together = islands(distinct).withColumns({"coverage_scope": F.lit("combined"), "coverage_status": F.lit("completed")})
     left = islands(complement(distinct, domain)).withColumns({"coverage_scope": F.lit("combined"), "coverage_status": F.lit("remaining")})
-    own = islands(bins.filter(F.col(mode).isin(*modes)), (mode,)).withColumnRenamed(mode, "coverage_scope").withColumn("coverage_status", F.lit("completed"))
+    own = islands(bins.filter(F.col(mode).isin(*modes)), (mode,)).withColumnRenamed(mode, "coverage_scope").withColumn("coverage_status", F.lit("covered"))
     columns = ("coverage_scope", "coverage_status", "start_bin", "end_bin", "bins")
     return together.select(*columns).unionByName(left.select(*columns)).unionByName(own.select(*columns))
 

@@ -300,7 +300,7 @@ ab AS (SELECT DISTINCT activity_id, ts, mode, CAST(unnest(range(start_bin, end_b
 dom AS (SELECT count(*) * 40 + 60 AS n FROM part),
 scopes AS (SELECT DISTINCT 'combined' AS coverage_scope, 'completed' AS coverage_status, bin FROM ab
     UNION ALL SELECT 'combined', 'remaining', CAST(g AS INT) FROM (SELECT unnest(range(n)) AS g FROM dom) WHERE g NOT IN (SELECT bin FROM ab)
-    UNION ALL SELECT DISTINCT mode, 'completed', bin FROM ab),
+    UNION ALL SELECT DISTINCT mode, 'covered', bin FROM ab),
 isl AS (SELECT coverage_scope, coverage_status, CAST(min(bin) AS INT) AS start_bin, CAST(max(bin) + 1 AS INT) AS end_bin, count(*) AS bins
     FROM (SELECT *, bin - row_number() OVER (PARTITION BY coverage_scope, coverage_status ORDER BY bin) AS g FROM scopes) GROUP BY coverage_scope, coverage_status, g)
 """
