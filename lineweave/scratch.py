@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless their Python finds it where the driver's does."""
+    root = str(Path(__file__).resolve().parent.parent)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or spark.conf.get("lineweave.shipped", None):
+        return
+    spark.conf.set("lineweave.shipped", "true")
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/lineweave", "zip", root, "lineweave")
+        spark.sparkContext.addPyFile(shutil.copy(archive, f"{tempfile.mkdtemp(prefix='lineweave-')}/lineweave.zip"))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: no lineage behind it, and a lost executor costs nothing."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that only led to this table
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    for _ in range(2):  # lets Spark delete the shuffle files that only led to this table
+        gc.collect()
+        spark._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._lineweave_path = path
     return out
 

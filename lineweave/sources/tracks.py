@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.scratch import ship
+
 SEMICIRCLE = 180 / 2**31
 FIT_EPOCH = datetime(1989, 12, 31, tzinfo=UTC)
 Point = tuple[datetime | None, float, float]
@@ -144,6 +146,7 @@ def parse_track(path: str, data: bytes) -> list[Point]:
 def read_tracks(spark: SparkSession, activities: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """activities (activity_id, track: path or null) -> points (activity_id, seq, ts, lat, lon) and issues
     (activity_id, code, message, filename). seq is the order in the file; files are read where their rows are."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
     wanted = files.join(activities.select("activity_id", F.col("track").alias("path")), "path").select("activity_id", "path", "content")
 
