@@ -1,9 +1,10 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment decides.
 
-A window is WINDOW consecutive word 5-grams, one every STEP of them; templates give a window at every place. A band
-is one minimum hash, so two windows of Jaccard j meet in one of BANDS bands with probability 1 - (1 - j)^BANDS: a
-notice of only three 5-grams lies whole in some window of four (j = 3/4) and is missed once in 65 000 times, and
-longer notices have more windows to be found by. Then the template's distinct 5-grams that the text holds are counted.
+A window is WINDOW consecutive word 5-grams, one from every STEP-th on; templates give a window at every place. A band
+is one minimum hash, so two windows of Jaccard j meet in one of BANDS bands with probability 1 - (1 - j)^BANDS. Where a
+text holds a template's wording, whole windows are equal (j = 1); even a template of a single 5-gram is half of two
+windows (j = 1/2 each), and both miss it once in 65 000 times. Then the template's distinct 5-grams that the text
+holds are counted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import cut, text_or_empty
 
-SHINGLE, WINDOW, STEP, BANDS = 5, 4, 2, 8
+SHINGLE, WINDOW, STEP, BANDS = 5, 2, 1, 8
 CONTAINED = 0.8
 
 #: The wording of common license notices.
@@ -57,10 +58,8 @@ def windows(hashes: Column, step: int) -> Column:
 
 def bands(name: str) -> list[Column]:
     """The minimum hashes of a window struct, one a band; places beyond the text's end count for nothing."""
-    salts = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 63) | 1 for k in range(BANDS)]
-    # odd factors taken modulo a prime below 2^31 of either half keep the products inside a long
-    mixed = lambda h, c: (F.shiftrightunsigned(h, 33) * F.lit(c % 2147483629)).bitwiseXOR((h.bitwiseAND(F.lit((1 << 31) - 1))) * F.lit((c >> 31) % 2147483629))
-    return [F.least(*(mixed(F.col(f"{name}.h{k}"), c) for k in range(WINDOW))).alias(f"b{i}") for i, c in enumerate(salts)]
+    value = lambda k, i: F.when(F.col(f"{name}.h{k}").isNotNull(), F.xxhash64(F.col(f"{name}.h{k}"), F.lit(i)))
+    return [F.least(*(value(k, i) for k in range(WINDOW))).alias(f"b{i}") for i in range(BANDS)]
 
 
 def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
