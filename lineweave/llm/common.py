@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.scratch import cut, drop_cut, shared_folder
+from lineweave.scratch import cut, drop_cut, shared_folder, ship
 
-__all__ = ["cut", "drop_cut", "read", "shared_folder", "shuffle_partitions", "small_side", "text_or_empty"]
+__all__ = ["cut", "drop_cut", "read", "shared_folder", "ship", "shuffle_partitions", "small_side", "text_or_empty"]
 
 #: A side may be broadcast up to this many rows of two or three numbers (a few MB); beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from lineweave.llm.common import ship
 from lineweave.llm.token_counts import byte_letters
 
 WINDOW = 2048
@@ -222,6 +223,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         if buffers:
             yield flush()
 
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{c}` long" for c in OUT))
 
