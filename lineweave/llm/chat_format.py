@@ -69,25 +69,62 @@ def registry(layouts: tuple[Layout, ...]) -> dict[str, str]:
     return found
 
 
-def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the declared field paths that a VARIANT record has (a JSON null counts as there)."""
-    has = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in paths(layouts)]
-    return F.sha2(F.concat_ws("|", *has), 256)
+class Parsed:
+    """A record as VARIANT: has any path, whatever its type."""
 
+    def __init__(self, record: Column):
+        self.record = record
 
-def _turns(record: Column, layout: Layout) -> Column:
+    def has(self, path: str) -> Column:
+        return F.try_variant_get(self.record, path, "variant").isNotNull()
+
+    def string(self, path: str) -> Column:
+        return F.try_variant_get(self.record, path, "string")
+
+    def turns(self, layout: Layout, turn) -> Column:
+        one = lambda v, name: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
+        return F.transform(F.try_variant_get(self.record, layout.turns, "array<variant>"), lambda v: turn(one(v, layout.role), one(v, layout.text)))
+
+
+class Declared:
+    """A record by the declared fields only, for JSON beyond the 16 MB that a VARIANT holds; a JSON null isn't there."""
+
+    def __init__(self, record: Column):
+        self.record = record
+
+    @staticmethod
+    def schema(layouts: tuple[Layout, ...]) -> str:
+        lists = {x.turns[2:]: f"array<struct<`{x.role}`:string,`{x.text}`:string>>" for x in layouts if x.turns}
+        plain = {p[2:]: "string" for p in paths(layouts) if "[" not in p and p[2:] not in lists}
+        return ", ".join(f"`{n}` {t}" for n, t in sorted((lists | plain).items()))
+
+    def has(self, path: str) -> Column:
+        name, _, inner = path[2:].partition("[0].")
+        whole = self.record.getField(name)
+        return F.get(whole, F.lit(0)).getField(inner).isNotNull() if inner else whole.isNotNull()
+
+    def string(self, path: str) -> Column:
+        return self.record.getField(path[2:])
+
+    def turns(self, layout: Layout, turn) -> Column:
+        one = lambda v, name: F.coalesce(v.getField(name), F.lit(""))
+        return F.transform(self.record.getField(layout.turns[2:]), lambda v: turn(one(v, layout.role), one(v, layout.text)))
+
+
+def fingerprint(record: Parsed | Declared, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the declared field paths that a record has."""
+    return F.sha2(F.concat_ws("|", *(F.when(record.has(p), F.lit(p)) for p in paths(layouts))), 256)
+
+
+def _turns(record: Parsed | Declared, layout: Layout) -> Column:
+    empty = F.array().cast(TURN)
     parts = []
     for role, path in layout.fields:
-        text = F.try_variant_get(record, path, "string")
-        there = F.try_variant_get(record, path, "variant").isNotNull()
-        parts.append(F.when(there, F.array(F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text")))).otherwise(F.lit(None)))
-    empty = F.array().cast(TURN)
-    parts = [F.coalesce(p.cast(TURN), empty) for p in parts]
+        own = F.array(F.struct(F.lit(role).alias("role"), F.coalesce(record.string(path), F.lit("")).alias("text")))
+        parts.append(F.when(record.has(path), own.cast(TURN)).otherwise(empty))
     if layout.turns:
-        listed = F.try_variant_get(record, layout.turns, "array<variant>")
-        one = lambda v, path: F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
-        role = lambda v: _canonical_role(one(v, layout.role)) if layout.rename else one(v, layout.role)
-        parts.append(F.coalesce(F.transform(listed, lambda v: F.struct(role(v).alias("role"), one(v, layout.text).alias("text"))), empty))
+        named = lambda role: _canonical_role(role) if layout.rename else role
+        parts.append(F.coalesce(record.turns(layout, lambda role, text: F.struct(named(role).alias("role"), text.alias("text"))), empty))
     return F.concat(*parts)
 
 
@@ -97,14 +134,22 @@ def _canonical_role(role: Column) -> Column:
 
 
 def canonical_turns(df: DataFrame, json_col: str, keep: tuple[str, ...], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """keep, then layout (null: unknown fingerprint or no JSON), fingerprint, turns: array of (role, text), empty if unknown."""
+    """keep, then layout (null: unknown fingerprint or no JSON), fingerprint, turns: array of (role, text), empty if unknown.
+
+    Records go by VARIANT; those too large for one (16 MB of JSON) by the declared fields.
+    """
     names = F.create_map(*(F.lit(x) for pair in registry(layouts).items() for x in pair))
-    parsed = df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_record"))
-    marked = parsed.withColumn("fingerprint", fingerprint(F.col("_record"), layouts))
-    chosen = marked.withColumn("layout", F.element_at(names, F.col("fingerprint")))
+    given = F.col(json_col)
+    parsed = df.select(*keep, F.try_parse_json(given).alias("_record"), given.alias("_json"))
+    large = F.when(F.col("_record").isNull(), F.from_json("_json", Declared.schema(layouts), {"maxStringLen": str((1 << 31) - 1)}))
+    parsed = parsed.select(*keep, "_record", large.alias("_large"))
+    ways = [(F.col("_record").isNotNull(), Parsed(F.col("_record"))), (F.col("_large").isNotNull(), Declared(F.col("_large")))]
+    mark = F.when(ways[0][0], fingerprint(ways[0][1], layouts)).when(ways[1][0], fingerprint(ways[1][1], layouts))
+    chosen = parsed.withColumn("fingerprint", F.coalesce(mark, F.sha2(F.lit(""), 256))).withColumn("layout", F.element_at(names, F.col("fingerprint")))
     turns = F.lit(None).cast(TURN)
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, _turns(F.col("_record"), x)).otherwise(turns)
+        for there, record in ways:
+            turns = F.when(there & (F.col("layout") == x.name), _turns(record, x)).otherwise(turns)
     return chosen.select(*keep, "layout", "fingerprint", F.coalesce(turns, F.array().cast(TURN)).alias("turns"))
 
 

@@ -163,8 +163,9 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("layout", F.lit(0))).collect()}
     assert got[1].n_turns == 2 and got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest() and got[1].loss_chars == 1
     assert got[2].n_turns == 2 and got[None].n_turns == 1
-    long = spark.createDataFrame([(1, 0, "assistant", "é" * 2_000_000)], "conv_id long, turn long, role string, text string")
-    assert chat_format.format_conversations(long).first().loss_chars == 2_000_000
+    long = spark.createDataFrame([(1, 0, "assistant", "é" * 9_000_000), (1, 1, "user", "</s>")], "conv_id long, turn long, role string, text string")
+    row = chat_format.format_conversations(long).first()  # more than a VARIANT holds
+    assert (row.loss_chars, row.n_turns, row.layout) == (9_000_000, 2, "messages")
 
 
 def test_sql(spark):
