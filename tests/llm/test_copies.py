@@ -112,7 +112,7 @@ def test_pipeline(spark):
     prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
     rows = [(i, "\n".join([prose(40) + ".", prose(60) + ".", "A line on every page."]), "en", "site", 0) for i in range(60)]
     passage = prose(120)
-    rows += [(100, rows[3][1], "en", "site", 0), (101, rows[4][1] + " more", "en", "site", 0)]
+    rows += [(100, rows[3][1], "en", "site", 0), (101, "more " + rows[4][1], "en", "site", 0)]
     rows += [(110 + k, prose(50) + " " + passage + " " + prose(50), "en", None, 0) for k in range(2)]
     rows += [(200, "too short", "en", "site", 0), (201, " ".join(f"x{k}$$$ y{k}%%% z{k}&&&" for k in range(80)), "en", "site", 0), (202, None, None, None, None), (100, rows[3][1], "en", "site", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
