@@ -92,15 +92,19 @@ class Cutter(dict):
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(segment, edges: array of (first, last, score, id)): each segment's substrings that are pieces, by an equi-join.
+    """words (segment and other keys) with edges: array of (first, last, score, id), the segment's substrings that are
+    pieces, by an equi-join; none for segments of over LONGEST characters.
 
-    first and last are character places, last exclusive. pieces is as large as the model, whatever the corpus.
+    first and last are character places, last exclusive. pieces is as large as the model, whatever the corpus. Where
+    words are already dealt by segment, as a count of them leaves them, nothing is shuffled.
     """
     n = F.char_length("segment")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("first"), (i + k).alias("last")))))
-    exploded = words.select("segment", F.explode(spans).alias("x")).select("segment", "x.first", "x.last", F.expr("substring(segment, x.first + 1, x.last - x.first)").alias("piece"))
-    met = exploded.join(F.broadcast(pieces), "piece").select("segment", F.struct("first", "last", "score", "id").alias("edge"))
-    return met.groupBy("segment").agg(F.collect_list("edge").alias("edges"))
+    exploded = words.select("*", F.explode_outer(F.when((n > 0) & (n <= LONGEST), spans)).alias("x"))
+    cut_out = exploded.select(*words.columns, "x.first", "x.last", F.expr("substring(segment, x.first + 1, x.last - x.first)").alias("piece"))
+    met = cut_out.join(F.broadcast(pieces), "piece", "left")
+    edge = F.when(F.col("id").isNotNull(), F.struct("first", "last", "score", "id"))
+    return met.groupBy(*words.columns).agg(F.collect_list(edge).alias("edges"))
 
 
 def viterbi(edges_col: Column, n: Column, unknown: float = -100.0) -> Column:
@@ -166,17 +170,17 @@ def share(offset: int, coded: int) -> int:
 
 
 def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) -> DataFrame:
-    """(segment, ids, n_tokens, code, exact) of every distinct segment; exact: decoding gives the segment back."""
+    """(segment, ids, n_tokens, code, exact, n) of every distinct segment; exact: decoding gives the segment back."""
     table = Pieces(path)
     pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")
-    short = edges(vocabulary.filter(F.char_length("segment") <= LONGEST).select("segment"), pieces, table.longest)
-    whole = vocabulary.select("segment").join(short, "segment", "left")
+    n = F.col("n") if "n" in vocabulary.columns else F.lit(1).cast("long")
+    whole = edges(vocabulary.select("segment", n.alias("n")), pieces, table.longest)
     byte_ids, name = table.bytes, {i: p for p, i, _ in table.rows} | {i: f"<0x{b:02X}>" for b, i in enumerate(table.bytes)}
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         for part in parts:
-            segs, found = part.column(0).to_pylist(), part.column(1).to_pylist()
+            segs, found = part.column(0).to_pylist(), part.column(2).to_pylist()
             ids = []
             for segment, own in zip(segs, found, strict=True):
                 if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
@@ -185,9 +189,9 @@ def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) ->
                 else:
                     ids.append(merge_fold(segment, {(e["first"], e["last"]): (e["score"], e["id"]) for e in own or ()}, byte_ids))
             exact = [decode([SPACE, *(name.get(i, "") for i in x)]) == s.replace(SPACE, " ") for s, x in zip(segs, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(code, ids), pa.int64()), pa.array(exact, pa.bool_())], names=["segment", "ids", "n_tokens", "code", "exact"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(code, ids), pa.int64()), pa.array(exact, pa.bool_()), part.column(1)], names=["segment", "ids", "n_tokens", "code", "exact", "n"])
 
-    return whole.mapInArrow(fold, "segment string, ids array<int>, n_tokens long, code long, exact boolean")
+    return whole.mapInArrow(fold, "segment string, ids array<int>, n_tokens long, code long, exact boolean, n long")
 
 
 def _without_lead(library: sentencepiece.SentencePieceProcessor, segment: str) -> list[int]:
@@ -226,10 +230,10 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         if words:
             yield told()
 
-    vocabulary = cut(docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     encoded = cut(encode_vocabulary(spark, vocabulary, model_path), "encoded")
-    common = vocabulary.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON).select("segment")
-    known = {r["segment"]: (r["n_tokens"], r["code"], r["exact"]) for r in encoded.join(F.broadcast(common), "segment").select("segment", "n_tokens", "code", "exact").collect()}
+    common = encoded.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON)
+    known = {r["segment"]: (r["n_tokens"], r["code"], r["exact"]) for r in common.select("segment", "n_tokens", "code", "exact").collect()}
     shared = spark.sparkContext.broadcast(known)  # COMMON entries at most
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
