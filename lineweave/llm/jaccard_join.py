@@ -4,8 +4,8 @@
     the first |x| - ceil(0.8 |x|) + 1 tokens in a fixed order. Two sets that are 0.8 alike share a prefix token, so a
     class without a shared one links with nothing. The order puts tokens last that many documents of a task hold; any
     order is right, and this one keeps common passages out of prefixes.
-2.  Similar classes are partitioned into groups: by minimum hash, each compared with the first of its block, three
-    times with another hash, only the first of each group going on.
+2.  Similar classes are partitioned into groups: by minimum hash, each compared with the leaders of its block, three
+    times with another hash, only one of each group going on.
 3.  The matrix holds each group's union of prefix tokens. A document is bound to a group it may link with by the
     tokens it shares with that union; only such groups are opened, and their members are streamed past the documents
     that ask. A link joins the groups.
@@ -29,10 +29,16 @@ from lineweave.llm.common import cut, drop_cut, shuffle_partitions, text_or_empt
 SHINGLE, PERCENT = 5, 80
 #: Members that one task compares with the documents of a block, and documents of a block held at a time.
 PART, ASKING = 2000, 500
+#: Documents of a block's part that others are compared with while groups are formed.
+LEADERS = 24
+#: Tokens that more groups hold only ask for documents that could link by such tokens alone.
+CROWDED = 12
 #: The frequent-token map is a bitmap of this many cells whatever the size of the table: 2 MB.
 CELLS = 1 << 24
 LOCAL_COUNT, TOTAL_COUNT = 4, 24
 KEYS = 3
+#: Of the keys, those that groups are formed by before the matrix; it finds all links whatever they do.
+ROUNDS = KEYS
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -124,11 +130,35 @@ def ordered_prefix(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return rare[:n] if len(rare) >= n else np.concatenate([rare, own[often][: n - len(rare)]])
 
 
+def _needed() -> tuple[str, str]:
+    """For a document of n tokens and a group with sets of group_low to group_high tokens: whether sizes allow a link, and
+    how many tokens of its prefix must then be in the union of the group's prefixes.
+
+    For sets of n and m tokens to link, a = ceil(0.8 (n + m) / 1.8) must be shared; then prefixes that are l tokens
+    longer than n - a and m - a share l of them. The prefixes kept are n - ceil(0.8 n) + 1 long, so l is known for any
+    m; the least l over the group's sizes is at their ends.
+    """
+    up = lambda x, y: f"(({x} + {y} - 1) div {y})"
+    least, most = f"greatest(group_low, {up(f'{PERCENT} * n', 100)})", f"least(group_high, 100 * n div {PERCENT})"
+    alpha = lambda m: up(f"{PERCENT} * (n + {m})", 100 + PERCENT)
+    own = f"{alpha(least)} - {up(f'{PERCENT} * n', 100)} + 1"
+    other = f"{alpha(most)} - {up(f'{PERCENT} * {most}', 100)} + 1 - if(group_low < group_high, 1, 0)"
+    return f"{least} <= {most}", f"greatest(1, least({own}, {other}))"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.select("block", "part", "asks", "id", "text").repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["asked", "member"])
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """Links (asked, member): rows are (block, part, asks, id, text); within a block's part, every member is compared
     with those that ask, up to the first that it links with."""
-    n = shuffle_partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asking = None, []
@@ -146,10 +176,57 @@ def compare(rows: DataFrame) -> DataFrame:
                         links.append((other, i))
                         break
             if links:
-                a, b = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["asked", "member"])
+                yield _links(links)
+
+    return _dealt(rows).mapInArrow(run, "asked long, member long")
+
+
+def lead(rows: DataFrame) -> DataFrame:
+    """Links (asked, member) that make stars: rows as for compare(). In a block's part, members that link with no leader
+    become leaders themselves, LEADERS at most; one that links with several joins what they lead. Each member's link
+    is to the first of the block where that is joined to it, else to the least of those joined."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders, first, up = None, [], None, {}
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        def told() -> list[tuple[int, int]]:
+            joined: dict[int, list[int]] = {}
+            for x in up:
+                joined.setdefault(find(x), []).append(x)
+            out = []
+            for own in joined.values():
+                root = first if first in own else min(own)
+                out += [(root, x) for x in own if x != root]
+            return out
+
+        for part in parts:
+            links = []
+            for block, k, asks, i, body in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                if (block, k) != at:
+                    links += told()
+                    at, leaders, first, up = (block, k), [], None, {}
+                own = tokens(body)
+                up[i] = i
+                if asks:
+                    first = i
+                alone = True
+                for other, theirs in leaders:
+                    if linked(own, theirs):
+                        up[find(i)] = find(other)
+                        alone = False
+                if alone and len(leaders) < LEADERS:
+                    leaders.append((i, own))
+            if links:
+                yield _links(links)
+        if links := told():
+            yield _links(links)
 
-    return dealt.mapInArrow(run, "asked long, member long")
+    return _dealt(rows).mapInArrow(run, "asked long, member long")
 
 
 def smallest_reachable(edges: DataFrame, name: str = "reached") -> DataFrame:
@@ -213,34 +290,40 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     # groups: (rep, head), head the rep that stands for its group
     heads = cut(texts.select("rep", F.col("rep").alias("head")), "heads")
-    for key in key_names:
+    for key in key_names[:ROUNDS]:
         now = heads.filter("rep = head").join(classes.select("rep", F.col(key).alias("block")), "rep").select("rep", "block")
         sizes = now.groupBy("block").agg(F.count("*").alias("size"), F.min("rep").alias("first")).filter("size > 1")
         parts = F.ceil(F.col("size") / PART).cast("int")
         members = now.join(sizes, "block").filter("rep <> first").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), F.col("rep").alias("id"))
         asking = sizes.select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("asks"), F.col("first").alias("id"))
-        links = compare(_with_text(members.unionByName(asking), texts))
+        links = lead(_with_text(members.unionByName(asking), texts))
         to = links.select(F.col("member").alias("old"), F.col("asked").alias("new"))
         fresh = cut(heads.join(to, F.col("head") == F.col("old"), "left").select("rep", F.coalesce("new", "head").alias("head")), "heads")
         drop_cut(heads)
         heads = fresh
 
-    # the matrix: (token, group) with the sizes of its documents; tokens of one group only ask nothing of any other
-    members = heads.groupBy(F.col("head").alias("of")).agg(F.count("*").alias("members"))
-    placed = postings.join(heads, "rep").join(members, F.col("head") == F.col("of")).select("token", "rep", "n", "head", "members")
-    across = placed.groupBy("token").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low < high").select("token")
-    placed = cut(placed.join(across, "token", "left_semi"), "matrix")
-    unions = placed.groupBy("token", F.col("head").alias("group")).agg(F.any_value("members").alias("group_members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # the matrix: (token, group); tokens of one group only ask nothing of any other
+    members = heads.join(classes.select("rep", "n"), "rep").groupBy(F.col("head").alias("of")).agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = postings.join(heads, "rep").select("token", "rep", "n", "head")
+    held = placed.select("token", "head").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+    placed = placed.join(held.select("token", (F.col("groups") > CROWDED).alias("crowded")), "token").join(members, F.col("head") == F.col("of")).drop("of")
+    # crowded: how many such tokens a document's prefix has. A pair that must share more than these shares others too
+    crowds = placed.groupBy(F.col("rep").alias("r")).agg(F.count_if("crowded").alias("crowd"))
+    placed = cut(placed.join(crowds, F.col("rep") == F.col("r")).drop("r"), "matrix")
+    unions = placed.select("token", F.col("head").alias("group"), F.col("members").alias("group_members"), F.col("low").alias("group_low"), F.col("high").alias("group_high")).distinct()
     smaller = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("head") > F.col("group")))
-    sized = (100 * F.col("n") >= PERCENT * F.col("low")) & (PERCENT * F.col("n") <= 100 * F.col("high"))
-    ask = cut(placed.join(unions, "token").filter((F.col("head") != F.col("group")) & smaller & sized).select("rep", F.col("group").alias("block"), "group_members").distinct(), "ask")
+    fits, need = map(F.expr, _needed())
+    open_ = (F.col("head") != F.col("group")) & smaller & fits & (~F.col("crowded") | (need <= F.col("crowd")))
+    met = placed.join(unions.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & open_).groupBy("rep", "n", "crowd", F.col("group").alias("block"), "group_members", "group_low", "group_high").agg(F.count("*").alias("shared"))
+    enough = F.col("shared") >= F.when(need <= F.col("crowd"), need).otherwise(need - F.col("crowd"))
+    ask = cut(met.filter(enough).select("rep", "block", "group_members"), "ask")
     rounds = ask.groupBy("block").agg(F.count("*").alias("asking"), F.max("group_members").alias("size"))
     rounds = rounds.select("block", F.ceil(F.col("asking") / ASKING).cast("int").alias("turns"), F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     place = lambda own, other, of: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), of(F.pmod(F.xxhash64(F.col("id")), F.col(own)).cast("int")))).alias("part")
     # a group's part is held, the documents that ask stream past it
-    held = heads.select(F.col("rep").alias("id"), F.col("head").alias("block")).join(rounds, "block").select("block", place("parts", "turns", lambda own: lambda turn: own * F.col("turns") + turn), F.lit(1).alias("asks"), "id")
+    opened = heads.select(F.col("rep").alias("id"), F.col("head").alias("block")).join(rounds, "block").select("block", place("parts", "turns", lambda own: lambda turn: own * F.col("turns") + turn), F.lit(1).alias("asks"), "id")
     asking = ask.select(F.col("rep").alias("id"), "block").join(rounds, "block").select("block", place("turns", "parts", lambda own: lambda part: part * F.col("turns") + own), F.lit(0).alias("asks"), "id")
-    links = cut(compare(_with_text(held.unionByName(asking), texts)), "links")
+    links = cut(compare(_with_text(opened.unionByName(asking), texts)), "links")
     head_of = lambda c, name: heads.select(F.col("rep").alias(c), F.col("head").alias(name))
     roots = smallest_reachable(links.join(head_of("asked", "a"), "asked").join(head_of("member", "b"), "member").select("a", "b"))
     final = heads.join(roots, F.col("head") == F.col("node"), "left").select(F.col("rep").alias("of"), F.coalesce("root", "head").alias("root"))
