@@ -3,6 +3,8 @@
 First pass: counts of every text, and two histograms, of character classes and of common words. The references are
 the same histograms summed over all documents of a language that pass the base rules. A document long enough to
 judge is rejected if the Jensen-Shannon distance of either histogram from its language's reference is above the limit.
+Common words are held against the reference twice, with all other words as one bucket and apart from them: the bucket
+alone would make any text of few common words, or of another language's, look alike.
 """
 
 from __future__ import annotations
@@ -56,13 +58,16 @@ CLASS_OF_BYTE = _class_of_byte()
 class Limits:
     """min_words: shorter documents fail; max_repeat: percent of words in repeated three-word windows; js_classes,
     js_words: the largest Jensen-Shannon distance (0 to 1) from the language; guard_words: only documents of as many
-    words are held against the common words, whose shares are noise in short texts."""
+    words are held against the common words, whose shares are noise in short texts; guard_common: and apart from the
+    other words only those of which the language's share leads to expect as many common words (of 20 drawn from a
+    reference, 0.5 percent are above js_words)."""
 
     min_words: int = 50
     max_repeat: int = 50
     js_classes: float = 0.28
     js_words: float = 0.6
     guard_words: int = 100
+    guard_common: int = 20
 
 
 def measure(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int]]:
@@ -137,12 +142,27 @@ def js_distance(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum((part(p) + part(q)) / 2, 0)), 0)
 
 
+def words_distance(histograms: np.ndarray, reference: np.ndarray, n_words: np.ndarray, expected: int) -> np.ndarray:
+    """The larger of the distances of the common words with and without the last bucket, all others.
+
+    Without it a text that has none of them is as far as can be, 1. Texts of which the reference's share of common words
+    leads to expect fewer than ``expected`` are held with the bucket alone.
+    """
+    out = js_distance(histograms, reference)
+    own, common = histograms[:, :-1], reference[:-1]
+    if not common.sum():
+        return out
+    apart = np.where(own.sum(axis=1) > 0, js_distance(own, common), 1.0)
+    return np.where(n_words * (common.sum() / reference.sum()) >= expected, np.maximum(out, apart), out)
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """One row per row of df: (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_classes, js_words).
 
     kept is false where a base rule fails (fewer than ``min_words`` words, or more than ``max_repeat`` percent of the
     words in three-word windows that occur twice), else whether both distances are within the limits; the one of
-    common words is guarded by ``guard_words``. A null text has no words; a null or unknown language is "other".
+    common words is guarded by ``guard_words`` and ``guard_common``; "other" is no language of its own, so its common words
+    are held with all other words only. A null text has no words; a null or unknown language is "other".
     Repeated rows are judged one by one. An empty table gives no row. Other columns aren't read. The references come
     from all documents that pass the base rules: one row for each of five languages, whatever the size of the table.
     """
@@ -159,12 +179,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             n = batch.num_rows
             own = [np.array(batch.column(i).to_pylist(), np.float64).reshape(n, -1) for i in (7, 8)]
             out = [np.zeros(n), np.zeros(n)]
-            language = np.array(batch.column(1).to_pylist(), object)
+            language, n_words = np.array(batch.column(1).to_pylist(), object), np.array(batch.column(2).to_pylist(), np.int64)
             for name, reference in references.items():
                 at = np.flatnonzero(language == name)
-                for k in (0, 1):
-                    out[k][at] = js_distance(own[k][at], reference[k])
-            out[1][np.array(batch.column(2).to_pylist()) < limits.guard_words] = 0
+                out[0][at] = js_distance(own[0][at], reference[0])
+                out[1][at] = js_distance(own[1][at], reference[1]) if name == "other" else words_distance(own[1][at], reference[1], n_words[at], limits.guard_common)
+            out[1][n_words < limits.guard_words] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 7)), *map(pa.array, out)], names=[id_col, *COUNTS, "js_classes", "js_words"])
 
     kind = dict(df.dtypes)[id_col]

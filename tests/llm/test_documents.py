@@ -1,7 +1,9 @@
 """Quality rules, line dedup, licenses, fingerprints and chats against brute force."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -42,6 +44,23 @@ def test_judge(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_judge_by_words_alone(spark):
+    """Texts in plain letters, which no other rule rejects: word salad, a keyword list, another language's text."""
+    common, rng = {k: v.split() for k, v in quality_rules.COMMON.items()}, random.Random(5)
+    plain = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+
+    def prose(lang, n, every):
+        return " ".join(rng.choice(common[lang]) if k % every == 0 else plain() for k in range(n))
+
+    rows = [(i, prose("en", 150 + i, 3), "en") for i in range(40)] + [(100 + i, prose("es", 150 + i, 3), "es") for i in range(40)]
+    rows += [(200, " ".join(plain() for _ in range(150)), "en"), (201, " ".join(plain() for _ in range(4000)), "en"), (202, prose("en", 300, 60), "en")]
+    rows += [(203, prose("es", 200, 3), "en"), (204, prose("en", 200, 3), "es"), (205, prose("en", 200, 3), "EN"), (206, prose("en", 200, 3), "it")]
+    rows += [(207, " ".join(plain() for _ in range(90)), "en")]
+    by = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in by.values()) and all(r.js_classes <= 0.28 for r in by.values())
+    assert {i for i, r in by.items() if not r.kept} == {200, 201, 202, 203, 204}
+
+
 def test_line_dedup(spark):
     rows = [(i, "h" if i % 2 else None, f"own {i}\nfooter\n\nfooter \nlast") for i in range(40)] + [(90, "h", None), (91, "h", ""), (92, "g", "footer")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("host", F.lit(0))
