@@ -8,8 +8,8 @@ keeps those that are pieces, and the edges of a segment are grouped into its lat
 *   for a BPE model by its merges. Viterbi can't give the library's ids there: BPE joins the best pair of neighbours
     again and again, and the path of greatest score is often another one.
 
-The encodings of the commonest segments, a fixed number, go to every task; the occurrences of the others are joined
-by shuffle. What a document gets from both adds up: token counts and a digest that doesn't depend on order.
+The encodings of the commonest segments, a fixed number, go to every task; those of the others are joined to the
+documents that hold them. A document's ids are those of its segments in their order; decoding takes them back to text.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lineweave.llm.common import cut, text_or_empty
 
@@ -73,18 +75,15 @@ def segments(text: str, follows: dict[str, str]) -> list[str]:
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-class Cutter(dict):
-    """Word (marked spaces and what follows them) -> its segments, remembered."""
+class Cutter:
+    """Text -> its words (marked spaces and what follows them), and a word -> its segments."""
 
     def __init__(self, follows: dict[str, str]):
         self.follows = follows
         self.safe = not any(SPACE in bs for a, bs in follows.items() if a != SPACE)
 
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = segments(word, self.follows)
-        return out
+    def segments(self, word: str) -> list[str]:
+        return segments(word, self.follows)
 
     def words(self, text: str) -> list[str]:
         marked = normalized(text)
@@ -164,34 +163,36 @@ def code(ids: list[int]) -> int:
     return xxhash.xxh3_64_intdigest(b"".join(i.to_bytes(4, "little") for i in ids)) & MASK
 
 
-def share(offset: int, coded: int) -> int:
-    """What a segment at a place adds to a document's digest."""
+def share(offset, coded):
+    """What a segment at a place adds to a document's digest; of numbers, or of arrays of 64 unsigned bits."""
     return (offset * 0x9E3779B1 ^ coded) & MASK
 
 
 def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) -> DataFrame:
-    """(segment, ids, n_tokens, code, exact, n) of every distinct segment; exact: decoding gives the segment back."""
+    """(segment, ids, packed: the ids as bytes, code, n) of every distinct segment."""
     table = Pieces(path)
     pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")
     n = F.col("n") if "n" in vocabulary.columns else F.lit(1).cast("long")
     whole = edges(vocabulary.select("segment", n.alias("n")), pieces, table.longest)
-    byte_ids, name = table.bytes, {i: p for p, i, _ in table.rows} | {i: f"<0x{b:02X}>" for b, i in enumerate(table.bytes)}
+    byte_ids = table.bytes
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         for part in parts:
-            segs, found = part.column(0).to_pylist(), part.column(2).to_pylist()
-            ids = []
-            for segment, own in zip(segs, found, strict=True):
+            segs, found = part.column(0).to_pylist(), part.column(2)
+            first, last, score, piece = (found.values.field(k).to_pylist() for k in range(4))
+            ends, ids = found.offsets.to_pylist(), []
+            for k, segment in enumerate(segs):
                 if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
                     lead = segment.startswith(SPACE)
                     ids.append(library.encode(segment.replace(SPACE, " ")[1:]) if lead else _without_lead(library, segment))
                 else:
-                    ids.append(merge_fold(segment, {(e["first"], e["last"]): (e["score"], e["id"]) for e in own or ()}, byte_ids))
-            exact = [decode([SPACE, *(name.get(i, "") for i in x)]) == s.replace(SPACE, " ") for s, x in zip(segs, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(code, ids), pa.int64()), pa.array(exact, pa.bool_()), part.column(1)], names=["segment", "ids", "n_tokens", "code", "exact", "n"])
+                    own = slice(ends[k], ends[k + 1])
+                    ids.append(merge_fold(segment, dict(zip(zip(first[own], last[own], strict=True), zip(score[own], piece[own], strict=True), strict=True)), byte_ids))
+            packed = [b"".join([i.to_bytes(4, "little") for i in x]) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(map(code, ids), pa.int64()), part.column(1)], names=["segment", "ids", "packed", "code", "n"])
 
-    return whole.mapInArrow(fold, "segment string, ids array<int>, n_tokens long, code long, exact boolean, n long")
+    return whole.mapInArrow(fold, "segment string, ids array<int>, packed binary, code long, n long")
 
 
 def _without_lead(library: sentencepiece.SentencePieceProcessor, segment: str) -> list[int]:
@@ -200,24 +201,25 @@ def _without_lead(library: sentencepiece.SentencePieceProcessor, segment: str) -
     return ids[2:]
 
 
-def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: (id, n_tokens, ids_digest, round_trip).
+def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: (id, text, ids, ids_digest), with the ids in the order of the text.
 
-    ids_digest adds a hash of each segment's place and ids, modulo 2^40; round_trip: whether every segment decodes to
-    itself, and so the whole text. A null text is empty: no token. Repeated rows each give their row; an empty table
-    gives none; other columns aren't read. Segments of over LONGEST characters go to the library.
+    ids_digest adds a hash of each segment's place and ids, modulo 2^40. A null text is empty: no id. Repeated rows each
+    give their row; an empty table gives none; other columns aren't read. Segments of over LONGEST characters go to the
+    library.
     """
     spark = df.sparkSession
     text = text_or_empty(text_col)
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("given"), text.alias("own_text"))
+    # rows that share a key only share what is looked up for them
+    docs = df.select(F.col(id_col).alias("given"), text.alias("own_text"), F.xxhash64(F.col(id_col), text).alias("row_key"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter_, words = _cutter(model_path), Counter()
         def told() -> pa.RecordBatch:
             found: Counter = Counter()
             for w, n in words.items():
-                for x in cutter_[w]:
+                for x in cutter_.segments(w):
                     found[x] += n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["segment", "n"])
@@ -233,56 +235,98 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     encoded = cut(encode_vocabulary(spark, vocabulary, model_path), "encoded")
     common = encoded.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON)
-    known = {r["segment"]: (r["n_tokens"], r["code"], r["exact"]) for r in common.select("segment", "n_tokens", "code", "exact").collect()}
+    known = {r["segment"]: (bytes(r["packed"]), r["code"].to_bytes(8, "little")) for r in common.select("segment", "packed", "code").collect()}
     shared = spark.sparkContext.broadcast(known)  # COMMON entries at most
 
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The segments of each row that aren't among the common ones."""
         cutter_, held = _cutter(model_path), shared.value
-        ways: dict = {}
+        ways: dict[str, tuple[str, ...]] = {}
         for part in parts:
-            tokens, digests, bad, segs, places = [], [], [], [], []
-            for body in part.column(1).to_pylist():
-                at, n, digest, wrong, cold, where = 0, 0, 0, 0, [], []
-                for w in cutter_.words(body):
+            keys, segs = [], []
+            for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                rare: set[str] = set()
+                for w in set(cutter_.words(body)):
                     if (way := ways.get(w)) is None:
                         if len(ways) >= REMEMBERED:
                             ways.clear()
-                        own, rare, k, total, off = [], [], 0, 0, 0
-                        for x in cutter_[w]:
-                            if found := held.get(x):
-                                own.append((off, found[1]))
-                                total += found[0]
-                                k += not found[2]
+                        way = ways[w] = tuple(x for x in cutter_.segments(w) if x not in held)
+                    if way:
+                        rare.update(way)
+                keys += [key] * len(rare)
+                segs += rare
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segs, pa.string())], names=["row_key", "segment"])
+
+    cold = docs.select("row_key", "own_text").mapInArrow(look_up, "row_key long, segment string")
+    met = cold.join(encoded.select("segment", "packed", "code"), "segment")
+    rest = met.groupBy("row_key").agg(F.collect_list(F.struct("segment", "packed", "code")).alias("rare"))
+    dealt = docs.join(rest.hint("shuffle_hash"), "row_key", "left").select("given", "own_text", "rare.segment", "rare.packed", "rare.code")
+
+    def assemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of the words of each row, put together in their order."""
+        cutter_, held = _cutter(model_path), shared.value
+        ways: dict[str, tuple[bytes, bytes, bytes, int]] = {}
+        for part in parts:
+            bodies, rares = part.column(1).to_pylist(), [part.column(k) for k in (2, 3, 4)]
+            for at in range(0, len(bodies), 256):
+                ids, digests = [], []
+                some = zip(bodies[at : at + 256], *(x.slice(at, 256).to_pylist() for x in rares), strict=True)
+                for body, *rare in some:
+                    words = cutter_.words(body)
+                    own = {x: (y, z.to_bytes(8, "little")) for x, y, z in zip(*rare, strict=True)} if rare[0] else {}
+                    here: dict[str, tuple[bytes, bytes, bytes, int]] = {}
+                    found = []
+                    for w in words:
+                        if (way := ways.get(w)) is None and (way := here.get(w)) is None:
+                            segs = cutter_.segments(w)
+                            got, size, sizes = [held.get(x) or own[x] for x in segs], 0, []
+                            for x in segs:
+                                sizes.append(size.to_bytes(8, "little"))
+                                size += len(x)
+                            way = (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]), b"".join(sizes), len(segs))
+                            if all(x in held for x in segs):  # the others are the row's own
+                                if len(ways) >= REMEMBERED:
+                                    ways.clear()
+                                ways[w] = way
                             else:
-                                rare.append((off, x))
-                            off += len(x)
-                        way = ways[w] = (own, rare, k, total, off)
-                    own, rare, k, total, size = way
-                    for off, coded in own:
-                        digest += share(at + off, coded)
-                    for off, x in rare:
-                        cold.append(x)
-                        where.append(at + off)
-                    n += total
-                    wrong += k
-                    at += size
-                tokens.append(n)
-                digests.append(digest & MASK)
-                bad.append(wrong)
-                segs.append(cold)
-                places.append(where)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(digests, pa.int64()), pa.array(bad, pa.int64()), pa.array(segs, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))], names=["given", "n", "digest", "bad", "segs", "places"])
-
-    partial = cut(docs.mapInArrow(add, f"given {kind}, n long, digest long, bad long, segs array<string>, places array<long>").withColumn("row", F.monotonically_increasing_id()), "partial")
-    cold = partial.select("row", F.inline(F.arrays_zip(F.col("segs").alias("segment"), F.col("places").alias("place"))))
-    met = cold.join(encoded.select("segment", "n_tokens", "code", "exact"), "segment").select("row", "place", "n_tokens", "code", "exact")
-
-    def contribute(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                                here[w] = way
+                        found.append(way)
+                    ids.append(np.frombuffer(b"".join([x[0] for x in found]), "<i4"))
+                    sizes = np.fromiter(map(len, words), np.uint64, len(words))
+                    starts = np.repeat(np.cumsum(sizes, dtype=np.uint64) - sizes, np.array([x[3] for x in found], np.int64))
+                    places = starts + np.frombuffer(b"".join([x[2] for x in found]), "<u8")
+                    codes = np.frombuffer(b"".join([x[1] for x in found]), "<u8")
+                    digests.append(int(share(places, codes).sum(dtype=np.uint64)) & MASK)
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 256), part.column(1).slice(at, 256), lists, pa.array(digests, pa.int64())], names=["given", "own_text", "ids", "ids_digest"])
+
+    return dealt.mapInArrow(assemble, f"given {kind}, own_text string, ids array<int>, ids_digest long").select(F.col("given").alias(id_col), F.col("own_text").alias(text_col), "ids", "ids_digest")
+
+
+def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+    """df with one more column, the text that the ids of each row spell; control pieces spell nothing."""
+    schema = StructType([*df.schema.fields, StructField(to, StringType())])
+    place, names = df.columns.index(ids_col), [*df.columns, to]
+
+    def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Pieces(model_path)
+        raw = [b""] * table.model.get_piece_size()
+        for p, i, _ in table.rows:
+            raw[i] = p.encode()
+        for value, i in enumerate(table.bytes):
+            raw[i] = bytes([value])
         for part in parts:
-            digest = [share(p, c) for p, c in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest, pa.int64()), part.column(4)], names=["row", "n_tokens", "part", "exact"])
+            lists = part.column(place)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+            texts = [b"".join([raw[i] for i in flat[a:b]]).decode(errors="replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
-    rest = met.mapInArrow(contribute, "row long, n_tokens long, part long, exact boolean").groupBy("row").agg(F.sum("n_tokens").alias("more"), F.sum("part").alias("parts"), F.count_if(~F.col("exact")).alias("worse"))
-    out = partial.select("given", "row", "n", "digest", "bad").join(rest, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(F.col("given").alias(id_col), (F.col("n") + zero("more")).alias("n_tokens"), F.pmod(F.col("digest") + zero("parts"), F.lit(MASK + 1)).alias("ids_digest"), ((F.col("bad") + zero("worse")) == 0).alias("round_trip"))
+    return df.mapInArrow(spell, schema)
+
+
+def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: (id, n_tokens, ids_digest, round_trip), from the ids of ``encode_ids``; round_trip: whether
+    ``decode_ids`` gives the text back. A text with a literal U+2581 doesn't come back, for it decodes to a space."""
+    back = decode_ids(encode_ids(df, model_path, id_col, text_col), model_path)
+    return back.select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids_digest", (F.col("decoded") == F.col(text_col)).alias("round_trip"))

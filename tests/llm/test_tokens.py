@@ -124,6 +124,20 @@ def test_sentencepiece_is_the_librarys(spark, monkeypatch):
     assert got == digests
 
 
+def test_sentencepiece_ids_and_back(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_lattice, "COMMON", 40)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rows = [(100 + i, t) for i, t in enumerate(texts(60, 9))] + ROWS + [(7, "abcdefghij" * 30), (8, "a\u2581b"), (9, "\u2581"), (10, "a  b ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    encoded = sentencepiece_lattice.encode_ids(df, PIECE)
+    assert sorted((r.doc_id, r.text, r.ids) for r in encoded.collect()) == sorted((i, t or "", library.encode(t or "")) for i, t in rows)
+    back = sentencepiece_lattice.decode_ids(encoded.drop("text"), PIECE)
+    assert sorted((r.doc_id, r.decoded) for r in back.collect()) == sorted((i, (t or "").replace("\u2581", " ")) for i, t in rows)
+    # a literal mark comes back as a space
+    assert {r.doc_id for r in sentencepiece_lattice.encode_documents(df, PIECE).collect() if not r.round_trip} == {8, 9}
+    assert sentencepiece_lattice.encode_documents(df.limit(0), PIECE).count() == 0
+
+
 def test_viterbi(spark):
     """The unigram fold against every segmentation."""
     pieces = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -6.0, "bc": -1.2, "c": -3.0}
