@@ -43,12 +43,22 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the word 5-grams of a text, in order, and of each line of one to four words as a whole."""
+def shingles(text: Column, short: tuple[str, ...] | None = None) -> Column:
+    """Hashes of the word 5-grams of a text, in order, and of each line of one to four words as a whole; or, with short
+    (wordings of one to four words), of those of them that stand anywhere in the text."""
     grams = lambda ws: F.transform(F.when(F.size(ws) >= SHINGLE, F.sequence(F.lit(0), F.size(ws) - SHINGLE)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(SHINGLE))))
+    if short is not None:
+        held = lambda said: F.array_compact(F.array(*(F.when(F.contains(said, F.lit(f" {x} ")), F.xxhash64(F.lit("short"), F.lit(x))) for x in short)).cast("array<bigint>"))
+        return _once(_words(text), lambda ws: F.concat(grams(ws), _once(F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" ")), held)))
     own = F.transform(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) <= 100), _words)
-    short = F.transform(F.filter(own, lambda ws: (F.size(ws) > 0) & (F.size(ws) < SHINGLE)), lambda ws: F.xxhash64(F.lit("line"), F.array_join(ws, " ")))
-    return F.concat(_once(_words(text), grams), short)
+    lines = F.transform(F.filter(own, lambda ws: (F.size(ws) > 0) & (F.size(ws) < SHINGLE)), lambda ws: F.xxhash64(F.lit("line"), F.array_join(ws, " ")))
+    return F.concat(_once(_words(text), grams), lines)
+
+
+def short_wordings(spark: SparkSession, templates: dict[str, str]) -> tuple[str, ...]:
+    """The words of the templates of one to four words; as many as the templates, whatever the corpus."""
+    words = spark.createDataFrame([(t,) for t in templates.values()], "text string").select(_words(F.col("text")).alias("ws"))
+    return tuple(sorted({" ".join(r["ws"]) for r in words.filter(F.size("ws").between(1, SHINGLE - 1)).collect()}))
 
 
 def windows(hashes: Column, step: int) -> Column:
@@ -62,32 +72,39 @@ def bands(name: str) -> list[Column]:
     return [F.least(*(value(k, i) for k in range(WINDOW))).alias(f"b{i}") for i in range(BANDS)]
 
 
-def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def template_tables(spark: SparkSession, templates: dict[str, str], short: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(license, shingle, size) and (license, band, value); as large as the templates, whatever the corpus."""
     given = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    hashed = given.select("license", shingles(F.col("text")).alias("hashes"))
+    own = shingles(F.col("text"), short)
+    if short is not None:  # a longer template is told by its 5-grams, whatever short ones it holds
+        n = F.size(_words(F.col("text")))
+        own = F.when(n < SHINGLE, F.array(F.xxhash64(F.lit("short"), F.array_join(_words(F.col("text")), " ")))).otherwise(F.slice(own, 1, F.greatest(n - SHINGLE + 1, F.lit(0))))
+    hashed = given.select("license", own.alias("hashes"))
     grams = hashed.select("license", F.size(F.array_distinct("hashes")).alias("size"), F.explode(F.array_distinct("hashes")).alias("shingle"))
     seen = hashed.select("license", F.explode(windows(F.col("hashes"), 1)).alias("w")).select("license", *bands("w"))
     listed = seen.select("license", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"b{i}").alias("value")) for i in range(BANDS)))).alias("x"))
     return grams, listed.select("license", "x.band", "x.value").distinct()
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, contained: float = CONTAINED, short_anywhere: bool = False) -> DataFrame:
     """One row per row of df: (id, licenses, n_licenses): the names of the templates that it holds to ``contained`` of
     their distinct 5-grams, sorted and joined by commas, and how many.
 
-    A template of fewer than five words is found as a line of its own. A null text is empty and holds none; repeated
+    A template of fewer than five words is found as a line of its own, or with ``short_anywhere`` at any place: in a longer
+    line or a running text too. A null text is empty and holds none; repeated
     rows are scanned alike; an empty table gives no row; other columns aren't read.
     """
     spark = df.sparkSession
-    grams, banded = template_tables(spark, TEMPLATES if templates is None else templates)
+    given = TEMPLATES if templates is None else templates
+    short = short_wordings(spark, given) if short_anywhere else None
+    grams, banded = template_tables(spark, given, short)
     grams, banded = cut(grams, "templates"), cut(banded, "bands")
     by_band: list[list[int]] = [[] for _ in range(BANDS)]
     for r in banded.select("band", "value").collect():  # of the templates only
         by_band[r["band"]].append(r["value"])
     text = text_or_empty(text_col)
     keyed = df.select(F.col(id_col), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("own_text"))
-    hashed = keyed.select("row_key", shingles(F.col("own_text")).alias("hashes"))
+    hashed = keyed.select("row_key", shingles(F.col("own_text"), short).alias("hashes"))
     seen = hashed.select("row_key", F.explode(windows(F.col("hashes"), STEP)).alias("w")).select("row_key", *bands("w"))
     met = F.lit(False)
     for i, values in enumerate(by_band):

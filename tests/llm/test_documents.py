@@ -98,6 +98,16 @@ def test_licenses(spark):
         assert got[i].licenses == ",".join(want) and got[i].n_licenses == len(want)
 
 
+def test_short_licenses_anywhere(spark):
+    filler = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, "Copyright 2024 Acme. All rights reserved."), (2, f"{filler} all Rights, reserved {filler}"), (3, "all rights are reserved"), (4, "All rights\nreserved."), (5, None), (6, "x mit y. Released under the MIT License."), (7, "mit"), (8, filler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan(df, short_anywhere=True).collect()}
+    assert got == {1: "all-rights-reserved", 2: "all-rights-reserved", 3: "", 4: "all-rights-reserved", 5: "", 6: "mit", 7: "", 8: ""}
+    two = {r.doc_id: r.licenses for r in license_scan.scan(df, templates={"m": "MIT", "r": "rights reserved", "long": license_scan.TEMPLATES["mit"]}, short_anywhere=True).collect()}
+    assert two == {1: "r", 2: "r", 3: "", 4: "r", 5: "", 6: "long,m", 7: "m", 8: ""}
+
+
 def spots(text):
     ws = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     content = [w for w in ws if w not in spot_signatures.ANCHOR_WORDS]
