@@ -7,8 +7,11 @@ import json
 import sys
 from collections.abc import Sequence
 from pathlib import Path
+from typing import Any
+from urllib.request import urlopen
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineweave.operators.graph import LineError, assemble, source_edges
@@ -17,7 +20,7 @@ from lineweave.plans.invariants import InvariantError
 from lineweave.plans.publish import ExportError, json_text, write_if_changed
 from lineweave.plans.render import RenderError
 from lineweave.sources.catalog import CatalogError, discover_export
-from lineweave.sources.reference_json import ReferenceError_, load_line, load_object, trail_features
+from lineweave.sources.reference_json import TRAIL_CANDIDATES, TRAIL_EXPECTED, TRAIL_NAMES, TRAIL_USES, ReferenceError_, fetch_geojson, load_line, load_object, select_trail, unit_trails
 
 KNOWN = (CatalogError, ExportError, InvariantError, LineError, ReferenceError_, RenderError)
 
@@ -34,21 +37,41 @@ def parser() -> argparse.ArgumentParser:
     ref = sub.add_parser("reference").add_subparsers(dest="action", required=True)
     for name in ("inspect", "build"):
         c = ref.add_parser(name)
-        c.add_argument("source", help="GeoJSON of trail features")
+        c.add_argument("source", help="GeoJSON of trail features, a file or the http(s) query of a feature service")
         c.add_argument("--line", type=Path, default=Path("data/reference/line.geojson"))
     return p
 
 
+def trail_source(spark: SparkSession, source: str) -> dict[str, Any]:
+    if not source.startswith(("http://", "https://")):
+        return load_object(spark, source)
+    try:
+        return fetch_geojson(urlopen, source)
+    except (OSError, ValueError) as error:
+        raise ReferenceError_(f"the service failed: {error}") from error
+
+
+def chosen_trail(features: DataFrame) -> DataFrame:
+    """The line's own features, numbered in the order of their ids."""
+    p = lambda k: F.element_at("properties", k)
+    order = W.orderBy(F.coalesce(p("OBJECTID").try_cast("long"), F.lit(0)), F.coalesce(p("GEOMETRYID"), F.lit("")), "feature_order")  # a few hundred rows
+    return select_trail(features, TRAIL_NAMES, TRAIL_CANDIDATES, TRAIL_EXPECTED, TRAIL_USES).withColumn("feature_order", F.row_number().over(order))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> str:
     if args.command == "reference":
-        features = trail_features(spark, load_object(spark, args.source)["features"])
+        found = trail_source(spark, args.source).get("features")
+        if not isinstance(found, list):
+            raise ReferenceError_(f"{args.source} has no features")
+        features = unit_trails(spark, found)
         if args.action == "inspect":
             keys = ("TRLNAME", "MAPLABEL", "TRLSTATUS", "TRLSURFACE", "TRLUSE", "TRLTYPE")
             counts = features.groupBy(*(F.element_at("properties", k).alias(k) for k in keys)).count().orderBy(*keys)
             return "\n".join("\t".join(str(v) for v in r) for r in counts.collect())
-        edges = [[tuple(p) for p in r["coordinates"]] for r in source_edges(features).orderBy("edge").collect()]  # a few hundred trail features
+        chosen = chosen_trail(features)
+        edges = [[tuple(p) for p in r["coordinates"]] for r in source_edges(chosen).orderBy("edge").collect()]  # a few hundred trail features
         line = assemble(edges)
-        shape = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"selected": len(edges)}, "geometry": {"type": "LineString", "coordinates": line}}]}
+        shape = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"selected": chosen.count()}, "geometry": {"type": "LineString", "coordinates": line}}]}
         changed = write_if_changed(args.line, json_text(json.loads(json.dumps(shape))))
         return f"{len(line)} vertices; {'written' if changed else 'unchanged'}"
     folder = discover_export(args.root, args.export)

@@ -97,8 +97,13 @@ def load_guide(spark: SparkSession, path: str, amenities: tuple[str, ...], cfg:
     return spark.createDataFrame(data, "location_id int, name string, milepost double" + "".join(f", {a} boolean" for a in amenities))
 
 
-#: The trail attributes that a wanted feature has, and the uses it allows.
-TRAIL_EXPECTED: dict[str, str] = {"TRLSTATUS": "Existing", "ISEXTANT": "True", "OPENTOPUBLIC": "Yes", "PUBLICDISPLAY": "Public Map Display", "DATAACCESS": "Unrestricted"}
+#: The unit, the fields that its features have, names of wanted features, their attributes and uses.
+UNIT = "CHOH"
+TRAIL_FIELDS = ("OBJECTID", "UNITCODE", "TRLNAME", "TRLALTNAME", "MAPLABEL", "TRLSTATUS", "TRLSURFACE", "TRLUSE", "TRLTYPE", "TRLCLASS", "TRLFEATTYPE", "PUBLICDISPLAY", "DATAACCESS", "ISEXTANT", "OPENTOPUBLIC", "GEOMETRYID")
+TRAIL_CANDIDATES = "towpath"
+TRAIL_NAMES = r"Towpath\s*,?\s*Mile(?:s?post)?\s+\d+\s*-\s*\d+(?:\s+\(\d+(?:\.\d+)?\))?|(?-i:Towpath, Milepost 184\.184\.5 \(184\.00\)|Widewater Waste Weir Bridge 3100-059S)"
+TRAIL_EXPECTED: dict[str, str] = {"TRLALTNAME": "Potomac Heritage National Scenic Trail", "TRLSTATUS": "Existing", "TRLTYPE": "Standard Terra Trail", "TRLFEATTYPE": "Park Trail", "PUBLICDISPLAY": "Public Map Display", "DATAACCESS": "Unrestricted", "ISEXTANT": "True"}
+TRAIL_USES = ("Hiker / Pedestrian", "Bicycle")
 
 
 def fetch_geojson(opener: Callable[..., Any], url: str, timeout: float = 60.0) -> dict[str, Any]:
@@ -132,6 +137,16 @@ def in_unit(unit: str) -> Column:
     return F.upper(squeeze(F.element_at("properties", "UNITCODE"))) == unit
 
 
+def unit_trails(spark: SparkSession, features: list[dict[str, Any]], unit: str = UNIT, required: tuple[str, ...] = TRAIL_FIELDS) -> DataFrame:
+    """``trail_features`` of the unit alone, which must be there and have the required fields between them."""
+    own = trail_features(spark, features).filter(in_unit(unit))
+    if own.isEmpty():
+        raise ReferenceError_(f"no feature of {unit}")
+    if lost := missing_fields(own, required):
+        raise ReferenceError_(f"no feature has {lost}")
+    return own
+
+
 def missing_fields(features: DataFrame, required: tuple[str, ...]) -> list[str]:
     """Fields that no feature has."""
     found = features.select(F.explode(F.map_keys("properties")).alias("k")).distinct().collect()
@@ -139,7 +154,8 @@ def missing_fields(features: DataFrame, required: tuple[str, ...]) -> list[str]:
 
 
 def select_trail(features: DataFrame, names: str, candidates: str, expected: dict[str, str], uses: tuple[str, ...] = ()) -> DataFrame:
-    """Features whose name matches ``names`` as a whole and whose attributes are as expected, in the order of their ids.
+    """Features whose name matches ``names`` as a whole and whose attributes are as expected, whatever their case, in the
+    order of their ids.
 
     Every feature whose name begins with, or whose label is, ``candidates`` must be one of them: others are ambiguous
     and stop the selection, as does an empty one.
@@ -148,10 +164,10 @@ def select_trail(features: DataFrame, names: str, candidates: str, expected: dic
     candidate = F.startswith(F.lower(p("TRLNAME")), F.lit(candidates)) | (F.lower(p("MAPLABEL")) == candidates)
     fits = p("TRLNAME").rlike(f"(?i)^(?:{names})$")
     for k, v in expected.items():
-        fits = fits & (p(k) == v)
-    allowed = F.transform(F.split(p("TRLUSE"), r"\|"), lambda u: F.trim(u))
+        fits = fits & (F.lower(p(k)) == v.lower())
+    allowed = F.transform(F.split(F.lower(p("TRLUSE")), r"\|"), lambda u: F.trim(u))
     for use in uses:
-        fits = fits & F.array_contains(allowed, use)
+        fits = fits & F.array_contains(allowed, use.lower())
     judged = features.withColumns({"_c": candidate, "_f": fits})
     counts = judged.agg(F.count_if(F.col("_c") & ~F.col("_f")).alias("odd"), F.count_if(F.col("_c") & F.col("_f")).alias("good")).first()
     if counts["odd"] or not counts["good"]:

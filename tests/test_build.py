@@ -170,6 +170,34 @@ def test_reference_files(spark, tmp_path):
             ref.fetch_geojson(opener(bad), "u")
 
 
+def test_reference_build_takes_the_towpath_alone(spark, tmp_path, monkeypatch):
+    def feature(k, coordinates, **other):
+        own = {f: None for f in ref.TRAIL_FIELDS} | {"OBJECTID": k, "UNITCODE": "choh", "TRLNAME": f"Towpath, Mile {k} - {k + 1}", "TRLUSE": "Bicycle | Hiker / Pedestrian|Horse", **ref.TRAIL_EXPECTED, "TRLSTATUS": "EXISTING"}
+        return {"type": "Feature", "properties": own | other, "geometry": {"type": "LineString", "coordinates": coordinates}}
+
+    path = tmp_path / "trails.geojson"
+    args = lambda action, source=path: cli.parser().parse_args(["reference", action, str(source), "--line", str(tmp_path / "out.geojson")])
+    good = [feature(2, LINE[200:]), feature(1, LINE[:201])]
+    side = feature(3, [LINE[200], (LINE[200][0], LINE[200][1] + 0.1)], TRLNAME="Side Trail")
+    other = feature(4, LINE[100:301], UNITCODE="OTHR")
+
+    def put(features):
+        path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+
+    put([*good, side, other])
+    assert f"{N + 1} vertices" in cli.run(spark, args("build"))
+    made = json.loads((tmp_path / "out.geojson").read_text())["features"][0]
+    assert made["properties"]["selected"] == 2 and len(made["geometry"]["coordinates"]) == N + 1
+    assert cli.run(spark, args("inspect")).count("\n") == 2  # the unit's three
+    monkeypatch.setattr(cli, "fetch_geojson", lambda opener, url: json.loads(path.read_text()))
+    assert "unchanged" in cli.run(spark, args("build", "https://service/query"))
+    short = [{**f, "properties": {k: v for k, v in f["properties"].items() if k != "GEOMETRYID"}} for f in good]
+    for bad in ([*good, feature(5, LINE[:9], TRLNAME="Towpath Detour")], [*good, feature(5, LINE[:9], TRLUSE="Bicycle")], [other], [side], short):
+        put(bad)
+        with pytest.raises(ref.ReferenceError_):
+            cli.run(spark, args("build"))
+
+
 def test_publication_checks():
     place = {"id": "a-1", "name": "A", "milepost": 1.0, "nearby_features": [{"id": "lock-1", "type": "lock"}], "first_covering_activity": {"activity_id": 5}}
     lock = {"id": "lock-1", "name": "L", "milepost": 1.0}
