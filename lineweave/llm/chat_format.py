@@ -2,7 +2,9 @@
 
 A layout is declared as data: which nested field paths a record of that layout has, and where turns, roles and texts
 are. A record's schema fingerprint is the hash of those declared paths that it has, in order; a map from fingerprint
-to layout, made from the declarations, selects the mapping. The template marks turns with control strings; the same
+to layout, made from the declarations, selects the mapping. A record that has paths of several layouts goes by the
+first of them, in the order of their declaration, whose required paths it has: messages before prompt, instruction
+before text. The template marks turns with control strings; the same
 strings inside a text get one more backslash, which reading back takes away again.
 """
 
@@ -42,8 +44,8 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("messages", ("$.messages", "$.messages[0].content"), ("$.messages[0].role", "$.system"), turns="$.messages", role="role", text="content", fields=(("system", "$.system"),)),
-    Layout("conversations", ("$.conversations", "$.conversations[0].value"), ("$.conversations[0].from", "$.system"), turns="$.conversations", role="from", text="value", rename=True, fields=(("system", "$.system"),)),
+    Layout("messages", ("$.messages",), ("$.messages[0].content", "$.messages[0].role", "$.system"), turns="$.messages", role="role", text="content", fields=(("system", "$.system"),)),
+    Layout("conversations", ("$.conversations",), ("$.conversations[0].value", "$.conversations[0].from", "$.system"), turns="$.conversations", role="from", text="value", rename=True, fields=(("system", "$.system"),)),
     Layout("instruction", ("$.instruction",), ("$.input", "$.output", "$.response", "$.system"), fields=(("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"), ("assistant", "$.response"))),
     Layout("prompt", ("$.prompt",), ("$.completion", "$.response", "$.chosen", "$.system"), fields=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion"), ("assistant", "$.response"), ("assistant", "$.chosen"))),
     Layout("question", ("$.question",), ("$.context", "$.answer"), fields=(("system", "$.context"), ("user", "$.question"), ("assistant", "$.answer"))),
@@ -116,6 +118,15 @@ def fingerprint(record: Parsed | Declared, layouts: tuple[Layout, ...] = LAYOUTS
     return F.sha2(F.concat_ws("|", *(F.when(record.has(p), F.lit(p)) for p in paths(layouts))), 256)
 
 
+def _first_layout(record: Parsed | Declared, layouts: tuple[Layout, ...]) -> Column:
+    """Name of the first layout whose required paths a record has; null if there is none."""
+    fits = [F.lit(True) for _ in layouts]
+    for k, x in enumerate(layouts):
+        for p in x.required:
+            fits[k] = fits[k] & record.has(p)
+    return F.coalesce(*(F.when(own, F.lit(x.name)) for own, x in zip(fits, layouts, strict=True)))
+
+
 def _turns(record: Parsed | Declared, layout: Layout) -> Column:
     empty = F.array().cast(TURN)
     parts = []
@@ -134,7 +145,7 @@ def _canonical_role(role: Column) -> Column:
 
 
 def canonical_turns(df: DataFrame, json_col: str, keep: tuple[str, ...], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """keep, then layout (null: unknown fingerprint or no JSON), fingerprint, turns: array of (role, text), empty if unknown.
+    """keep, then layout (null: no layout fits, or no JSON), fingerprint, turns: array of (role, text), empty if unknown.
 
     Records go by VARIANT; those too large for one (16 MB of JSON) by the declared fields.
     """
@@ -145,7 +156,9 @@ def canonical_turns(df: DataFrame, json_col: str, keep: tuple[str, ...], layouts
     parsed = parsed.select(*keep, "_record", large.alias("_large"))
     ways = [(F.col("_record").isNotNull(), Parsed(F.col("_record"))), (F.col("_large").isNotNull(), Declared(F.col("_large")))]
     mark = F.when(ways[0][0], fingerprint(ways[0][1], layouts)).when(ways[1][0], fingerprint(ways[1][1], layouts))
-    chosen = parsed.withColumn("fingerprint", F.coalesce(mark, F.sha2(F.lit(""), 256))).withColumn("layout", F.element_at(names, F.col("fingerprint")))
+    chosen = parsed.withColumn("fingerprint", F.coalesce(mark, F.sha2(F.lit(""), 256)))
+    several = F.when(ways[0][0], _first_layout(ways[0][1], layouts)).when(ways[1][0], _first_layout(ways[1][1], layouts))
+    chosen = chosen.withColumn("layout", F.coalesce(F.element_at(names, F.col("fingerprint")), several))
     turns = F.lit(None).cast(TURN)
     for x in layouts:
         for there, record in ways:

@@ -187,6 +187,25 @@ def test_layouts(spark):
     assert got[6] == (None, []) and got[50] == (None, []) and got[51] == (None, [])
 
 
+def test_records_of_two_layouts(spark):
+    import json
+
+    records = [
+        {"instruction": "i", "input": "x", "output": "o", "text": "all of it"},
+        {"prompt": "p", "messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "b"}]},
+        {"messages": [{"role": "assistant"}, {"role": "user", "content": "b"}]},
+        {"conversations": [{"from": "gpt"}, {"from": "human", "value": "b"}], "text": "t", "prompt": "p"},
+        {"question": "q", "output": "o"},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "id int, record string")
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns(df, "record", ("id",)).collect()}
+    assert got[0] == ("instruction", [("user", "i"), ("user", "x"), ("assistant", "o")])
+    assert got[1] == ("messages", [("user", "p"), ("assistant", "b")])
+    assert got[2] == ("messages", [("assistant", ""), ("user", "b")])
+    assert got[3] == ("conversations", [("assistant", ""), ("user", "b")])
+    assert got[4] == ("question", [("user", "q")])
+
+
 def test_conversations(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (None, 0, "user", "x"), (2, 0, None, ""), (2, 0, None, "")]
     got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("layout", F.lit(0))).collect()}
