@@ -58,7 +58,10 @@ def segment_violations(rows: DataFrame, key: tuple[str, ...], cfg: LineConfig =
 
 
 def published_violations(activities: DataFrame, coverage: dict, cfg: LineConfig = LineConfig()) -> dict[str, int]:
-    """Rules of a published result: activities (activity_id, activity_type, date, segments, the mileages), coverage summary."""
+    """Rules of a published result: activities (activity_id, activity_type, date, segments, the mileages), coverage summary.
+
+    With ts, the new and the cumulative miles of each activity are held against those recomputed from the segments.
+    """
     spark = activities.sparkSession
     flat = activities.select("activity_id", "activity_type", F.posexplode("segments").alias("pos", "s")).select("activity_id", "activity_type", "pos", "s.*")
     out = {r["rule"]: r["violations"] for r in segment_violations(flat, ("activity_id",), cfg).collect()}
@@ -80,6 +83,8 @@ def published_violations(activities: DataFrame, coverage: dict, cfg: LineConfig
         F.sum("new_co_unique_miles").alias("_new"),
     ).first()
     out |= {k: v for k, v in counted.asDict().items() if k[0] != "_"}
+    if "ts" in activities.columns:
+        out |= _order_violations(activities, binned, cfg)
     sets = {r["mode"]: r["n"] for r in binned.select("bin", F.col("activity_type").alias("mode")).distinct().groupingSets([[F.col("mode")], []], "mode").agg(F.count_distinct("bin").alias("n")).collect()}
     near = lambda a, b, t=MILES: int(abs((a or 0) - b) > t)
     union = sets.get(None, 0) * cfg.bin_miles
@@ -110,6 +115,25 @@ def published_violations(activities: DataFrame, coverage: dict, cfg: LineConfig
     return out
 
 
+def _order_violations(activities: DataFrame, binned: DataFrame, cfg: LineConfig) -> dict[str, int]:
+    """Rules of first touch in the order of time and id: new is what no earlier activity covers, cumulative is the running
+    union and never falls, and every activity has its time."""
+    placed = binned.join(activities.select("activity_id", "ts"), "activity_id")
+    firsts = placed.groupBy("bin").agg(F.min(F.struct("ts", "activity_id")).alias("first")).groupBy(F.col("first.activity_id").alias("activity_id")).agg(F.count("*").alias("n"))
+    rows = activities.join(firsts, "activity_id", "left").select("activity_id", "ts", F.coalesce("n", F.lit(0)).alias("n"), "new_co_unique_miles", "cumulative_unique_miles").orderBy("ts", "activity_id").collect()  # one row per activity, as for the files
+    out = dict.fromkeys(("new_is_first_touch", "cumulative_is_running_union", "cumulative_never_falls", "chronological"), 0)
+    running, before = 0, 0.0
+    for r in rows:
+        running += r["n"]
+        told = r["cumulative_unique_miles"]
+        out["new_is_first_touch"] += abs(r["new_co_unique_miles"] - r["n"] * cfg.bin_miles) > MILES
+        out["cumulative_is_running_union"] += abs(told - running * cfg.bin_miles) > MILES
+        out["cumulative_never_falls"] += told + MILES < before
+        out["chronological"] += r["ts"] is None
+        before = told
+    return out
+
+
 def gate(violations: dict[str, int]) -> None:
     broken = {k: v for k, v in violations.items() if v}
     if broken:

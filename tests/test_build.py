@@ -198,6 +198,19 @@ def test_reference_build_takes_the_towpath_alone(spark, tmp_path, monkeypatch):
             cli.run(spark, args("build"))
 
 
+def test_gate_on_first_touch(spark, tmp_path):
+    export(tmp_path / "export")
+    build = match_export(spark, str(tmp_path / "export"), LINE)
+    broken = lambda records: {k for k, n in published_violations(records, build.coverage).items() if n}
+    at = lambda column, values: build.records.withColumn(column, F.coalesce(*(F.when(F.col("activity_id") == i, F.col(column) + d) for i, d in values.items()), F.col(column)))
+    assert not broken(build.records)
+    # the totals stay right
+    assert broken(at("new_co_unique_miles", {1: -0.5, 3: 0.5})) >= {"new_is_first_touch"}
+    assert "cumulative_is_running_union" in broken(at("cumulative_unique_miles", {1: 0.5}))
+    assert "cumulative_never_falls" in broken(at("cumulative_unique_miles", {1: 90.0}))
+    assert "chronological" in broken(build.records.withColumn("ts", F.when(F.col("activity_id") > 1, F.col("ts"))))
+
+
 def test_publication_checks():
     place = {"id": "a-1", "name": "A", "milepost": 1.0, "nearby_features": [{"id": "lock-1", "type": "lock"}], "first_covering_activity": {"activity_id": 5}}
     lock = {"id": "lock-1", "name": "L", "milepost": 1.0}
