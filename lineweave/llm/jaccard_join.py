@@ -6,9 +6,11 @@
     order is right, and this one keeps common passages out of prefixes.
 2.  Similar classes are partitioned into groups: by minimum hash, each compared with the leaders of its block, three
     times with another hash, only one of each group going on.
-3.  The matrix holds each group's union of prefix tokens. A document is bound to a group it may link with by the
-    tokens it shares with that union; only such groups are opened, and their members are streamed past the documents
-    that ask. A link joins the groups.
+3.  The matrix holds each group's union of prefix tokens, each with the best place that it has in a member's order. A
+    document is bound to a group it may link with by the tokens it shares with that union, of which only those count
+    that stand early enough, in the document and in the group, to be among the first few that a linked pair shares.
+    So a token that thousands of copies hold, and the order puts last, brings no two of them together. Only groups
+    that share enough are opened, and their members are streamed past the documents that ask. A link joins the groups.
 
 Members of a block or of an opened group are dealt into parts of bounded size that each get a copy of the few that
 they are compared with, so no task holds a whole group and no two copies of a text are ever paired.
@@ -24,15 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import cut, drop_cut, shuffle_partitions, text_or_empty
+from lineweave.llm.common import cut, drop_cut, shuffle_partitions, slices, text_or_empty
+from lineweave.operators.graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Members that one task compares with the documents of a block, and documents of a block held at a time.
-PART, ASKING = 2000, 500
+#: Members that one task compares with the documents of a block, and their tokens; documents of a block held at a time.
+PART, PART_TOKENS, ASKING = 2000, 4_000_000, 500
 #: Documents of a block's part that others are compared with while groups are formed.
 LEADERS = 24
-#: Tokens that more groups hold only ask for documents that could link by such tokens alone.
-CROWDED = 12
+#: A document asks a group if they share so many more tokens than one, early enough in both.
+EXTRA = 1
 #: The frequent-token map is a bitmap of this many cells whatever the size of the table: 2 MB.
 CELLS = 1 << 24
 LOCAL_COUNT, TOTAL_COUNT = 4, 24
@@ -98,7 +101,7 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
             most[-1] = most.get(-1, 0) + 1
             held.clear()
 
-        for part in parts:
+        for part in slices(parts):
             for body in part.column(0).to_pylist():
                 held.append(tokens(body))
                 size += len(held[-1])
@@ -130,20 +133,22 @@ def ordered_prefix(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return rare[:n] if len(rare) >= n else np.concatenate([rare, own[often][: n - len(rare)]])
 
 
-def _needed() -> tuple[str, str]:
-    """For a document of n tokens and a group with sets of group_low to group_high tokens: whether sizes allow a link, and
-    how many tokens of its prefix must then be in the union of the group's prefixes.
+def _bounds() -> dict[str, str]:
+    """What a document of n tokens and a group with sets of group_low to group_high tokens must meet to link, as SQL.
 
-    For sets of n and m tokens to link, a = ceil(0.8 (n + m) / 1.8) must be shared; then prefixes that are l tokens
-    longer than n - a and m - a share l of them. The prefixes kept are n - ceil(0.8 n) + 1 long, so l is known for any
-    m; the least l over the group's sizes is at their ends.
+    For sets of n and m tokens to link, a = ceil(0.8 (n + m) / 1.8) must be shared; then the k-th shared one in the
+    order (from 0) stands at n - a + k at most in one and at m - a + k in the other. So the first 1 + EXTRA of them are
+    at ``early`` places in both, or fewer where the kept prefixes, n - ceil(0.8 n) + 1 long, end before: ``need`` are left.
+    The least of a is at the group's smallest set that fits, the least of what is left at the ends of its sizes; a group
+    keeps of each token the least of (place - m + 0.8 m / 1.8) over its members.
     """
     up = lambda x, y: f"(({x} + {y} - 1) div {y})"
     least, most = f"greatest(group_low, {up(f'{PERCENT} * n', 100)})", f"least(group_high, 100 * n div {PERCENT})"
     alpha = lambda m: up(f"{PERCENT} * (n + {m})", 100 + PERCENT)
     own = f"{alpha(least)} - {up(f'{PERCENT} * n', 100)} + 1"
     other = f"{alpha(most)} - {up(f'{PERCENT} * {most}', 100)} + 1 - if(group_low < group_high, 1, 0)"
-    return f"{least} <= {most}", f"greatest(1, least({own}, {other}))"
+    early = f"place <= n - {alpha(least)} + {EXTRA} and group_place + {PERCENT} * n <= {EXTRA * (100 + PERCENT)}"
+    return {"fits": f"{least} <= {most}", "early": early, "need": f"greatest(1, least({own}, {other}, {1 + EXTRA}))"}
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -162,7 +167,7 @@ def compare(rows: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asking = None, []
-        for part in parts:
+        for part in slices(parts):
             links = []
             for block, k, asks, i, body in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
                 if (block, k) != at:
@@ -204,7 +209,7 @@ def lead(rows: DataFrame) -> DataFrame:
                 out += [(root, x) for x in own if x != root]
             return out
 
-        for part in parts:
+        for part in slices(parts):
             links = []
             for block, k, asks, i, body in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
                 if (block, k) != at:
@@ -229,23 +234,6 @@ def lead(rows: DataFrame) -> DataFrame:
     return _dealt(rows).mapInArrow(run, "asked long, member long")
 
 
-def smallest_reachable(edges: DataFrame, name: str = "reached") -> DataFrame:
-    """(node, root): the smallest node that each node of the undirected edges (a, b) reaches, by minimum labels and pointer jumping."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), name)
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("to")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, F.col("node") == F.col("to")).select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
-        jump = moved.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        new = cut(moved.join(jump, F.col("root") == F.col("via"), "left").select("node", "before", F.least("root", F.coalesce("far", "root")).alias("root")), name)
-        still = new.filter("root < before").limit(1).count()
-        drop_cut(labels)
-        labels = new
-        if not still:
-            drop_cut(both)
-            return labels.select("node", "root")
-
-
 def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: (id, n_shingles, component_id).
 
@@ -261,7 +249,7 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shared = df.sparkSession.sparkContext.broadcast(frequent_cells(docs))  # CELLS bits
 
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             rows = []
             for body in part.column(3).to_pylist():
                 own = tokens(body)
@@ -282,7 +270,7 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     slim = cut(described.select("given", "id", "n_shingles", "digest"), "sizes")
     drop_cut(described)
 
-    postings = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    postings = classes.select("rep", "n", F.posexplode("prefix").alias("place", "token"))
     often = postings.groupBy("token").count().filter(F.col("count") > 1).select("token")
     postings = cut(postings.join(often, "token", "left_semi"), "postings")
     active = postings.select("rep").distinct().join(classes.select("rep", "of.id", "of.row_key"), "rep")
@@ -303,29 +291,26 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         heads = fresh
 
     # the matrix: (token, group); tokens of one group only ask nothing of any other
-    members = heads.join(classes.select("rep", "n"), "rep").groupBy(F.col("head").alias("of")).agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = postings.join(heads, "rep").select("token", "rep", "n", "head")
+    members = heads.join(classes.select("rep", "n"), "rep").groupBy(F.col("head").alias("of")).agg(F.count("*").alias("members"), F.sum("n").alias("mass"), F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = postings.join(heads, "rep").select("token", "rep", "n", "place", "head")
     held = placed.select("token", "head").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-    placed = placed.join(held.select("token", (F.col("groups") > CROWDED).alias("crowded")), "token").join(members, F.col("head") == F.col("of")).drop("of")
-    # crowded: how many such tokens a document's prefix has. A pair that must share more than these shares others too
-    crowds = placed.groupBy(F.col("rep").alias("r")).agg(F.count_if("crowded").alias("crowd"))
-    placed = cut(placed.join(crowds, F.col("rep") == F.col("r")).drop("r"), "matrix")
-    unions = placed.select("token", F.col("head").alias("group"), F.col("members").alias("group_members"), F.col("low").alias("group_low"), F.col("high").alias("group_high")).distinct()
+    placed = cut(placed.join(held.select("token"), "token").join(members, F.col("head") == F.col("of")).drop("of"), "matrix")
+    at = F.expr(f"(place - n) * {100 + PERCENT} + {PERCENT} * n")  # in parts of 1 / 180
+    unions = placed.groupBy("token", F.col("head").alias("group"), F.col("members").alias("group_members"), F.col("mass").alias("group_mass"), F.col("low").alias("group_low"), F.col("high").alias("group_high")).agg(F.min(at).alias("group_place"))
     smaller = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("head") > F.col("group")))
-    fits, need = map(F.expr, _needed())
-    open_ = (F.col("head") != F.col("group")) & smaller & fits & (~F.col("crowded") | (need <= F.col("crowd")))
-    met = placed.join(unions.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & open_).groupBy("rep", "n", "crowd", F.col("group").alias("block"), "group_members", "group_low", "group_high").agg(F.count("*").alias("shared"))
-    enough = F.col("shared") >= F.when(need <= F.col("crowd"), need).otherwise(need - F.col("crowd"))
-    ask = cut(met.filter(enough).select("rep", "block", "group_members"), "ask")
-    rounds = ask.groupBy("block").agg(F.count("*").alias("asking"), F.max("group_members").alias("size"))
-    rounds = rounds.select("block", F.ceil(F.col("asking") / ASKING).cast("int").alias("turns"), F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    bounds = {k: F.expr(x) for k, x in _bounds().items()}
+    open_ = (F.col("head") != F.col("group")) & smaller & bounds["fits"] & bounds["early"]
+    met = placed.join(unions.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & open_).groupBy("rep", "n", F.col("group").alias("block"), "group_members", "group_mass", "group_low", "group_high").agg(F.count("*").alias("shared"))
+    ask = cut(met.filter(F.col("shared") >= bounds["need"]).select("rep", "block", "group_members", "group_mass"), "ask")
+    rounds = ask.groupBy("block").agg(F.count("*").alias("asking"), F.max(F.greatest(F.col("group_members") / PART, F.col("group_mass") / PART_TOKENS)).alias("size"))
+    rounds = rounds.select("block", F.ceil(F.col("asking") / ASKING).cast("int").alias("turns"), F.ceil("size").cast("int").alias("parts"))
     place = lambda own, other, of: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), of(F.pmod(F.xxhash64(F.col("id")), F.col(own)).cast("int")))).alias("part")
     # a group's part is held, the documents that ask stream past it
     opened = heads.select(F.col("rep").alias("id"), F.col("head").alias("block")).join(rounds, "block").select("block", place("parts", "turns", lambda own: lambda turn: own * F.col("turns") + turn), F.lit(1).alias("asks"), "id")
     asking = ask.select(F.col("rep").alias("id"), "block").join(rounds, "block").select("block", place("turns", "parts", lambda own: lambda part: part * F.col("turns") + own), F.lit(0).alias("asks"), "id")
     links = cut(compare(_with_text(opened.unionByName(asking), texts)), "links")
     head_of = lambda c, name: heads.select(F.col("rep").alias(c), F.col("head").alias(name))
-    roots = smallest_reachable(links.join(head_of("asked", "a"), "asked").join(head_of("member", "b"), "member").select("a", "b"))
+    roots = components(links.join(head_of("asked", "a"), "asked").join(head_of("member", "b"), "member").select("a", "b")).withColumnRenamed("component", "root")
     final = heads.join(roots, F.col("head") == F.col("node"), "left").select(F.col("rep").alias("of"), F.coalesce("root", "head").alias("root"))
     numbers = cut(classes.select("digest", "least_id", "rep"), "numbers")
     grouped = numbers.join(final, F.col("rep") == F.col("of"), "left").select("digest", "least_id", F.coalesce("root", "rep").alias("root"))
