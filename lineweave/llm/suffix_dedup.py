@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import cut, drop_cut, text_or_empty
+from lineweave.llm.common import cut, drop_cut, slices, text_or_empty
 
 GRAM = 16
 CHUNK = 1 << 19  # bytes whose windows are looked at together; places in a chunk take 20 bits
@@ -141,8 +141,11 @@ def whole_characters(text: bytes, pairs: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _finish(text: bytes, spans: list[np.ndarray]) -> tuple[int, int, str, bytes, str]:
+def _finish(text: bytes, spans: list[np.ndarray], min_words: int) -> tuple[int, int, str, bytes, str]:
     start, end = _removed(len(text), spans)
+    if min_words:
+        long = np.array([len(text[s:e].split()) >= min_words for s, e in zip(start.tolist(), end.tolist(), strict=True)], bool)
+        start, end = start[long], end[long]
     pairs = [*zip(start.tolist(), end.tolist(), strict=True)]
     digest = hashlib.sha256(without(text, pairs)).hexdigest()
     return int((end - start).sum()), len(start), digest, np.column_stack([start, end]).astype("<i8").tobytes(), without(text, whole_characters(text, pairs)).decode(errors="ignore")
@@ -167,10 +170,10 @@ def _emit(part: pa.RecordBatch, kept: int, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(kept)), *(pa.array(c, t) for c, (_, t) in zip(columns, _STATE, strict=True))], names=[*part.schema.names[:kept], *(c for c, _ in _STATE)])
 
 
-def _state(key: int, text: bytes, spans: list[np.ndarray], nodes: list[tuple[np.ndarray, ...]], give_text: bool) -> tuple:
+def _state(key: int, text: bytes, spans: list[np.ndarray], nodes: list[tuple[np.ndarray, ...]], give_text: bool, min_words: int) -> tuple:
     """A row of _STATE; nodes: (core, hull, weight, place, l0, l1) that are still open."""
     if not nodes:
-        *settled, kept = _finish(text, spans)
+        *settled, kept = _finish(text, spans, min_words)
         return (key, len(text), *settled, kept if give_text else None, None, *[None] * 6)
     start, end = _removed(len(text), spans)
     return (key, len(text), 0, 0, None, np.column_stack([start, end]).astype("<i8").tobytes(), None, text, *(np.concatenate(c) for c in zip(*nodes, strict=True)))
@@ -220,13 +223,14 @@ def _exploded(state: DataFrame) -> DataFrame:
     return state.select("row_key", F.inline(F.arrays_zip("core", "hull", "weight")))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = 400, batches: int = 3, keep: tuple[str, ...] = (), give_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = 400, batches: int = 3, keep: tuple[str, ...] = (), give_text: bool = False, min_words: int = 0) -> DataFrame:
     """One row per row of df: (id, the columns named by keep, n_bytes, n_removed, n_spans, kept_sha256, spans), and
     with give_text also kept_text, the text without the characters that lose a byte.
 
     Every byte that a string of ``match`` bytes covers which also starts anywhere else in the table (same text
     included, overlaps count) is removed; spans holds the maximal removed runs as little-endian 64-bit pairs (start,
-    end) of byte offsets. Strings are judged on the input and never cross texts. A null text is empty; a text shorter
+    end) of byte offsets. With min_words, a run that holds fewer words (cut ones at its ends included) stays as a whole.
+    Strings are judged on the input and never cross texts. A null text is empty; a text shorter
     than ``match`` loses nothing; repeated rows repeat each other and lose all that is long enough. An empty table
     gives no row. Other columns aren't read. Very long texts are looked at in chunks of a megabyte.
     """
@@ -238,7 +242,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(*(F.col(f"`{c}`") for c in first_columns), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("own_text"))
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             keys, cores, hulls, weights = [], [], [], []
             for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if len(body) < match:
@@ -271,7 +275,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_cut(suffixes, *matched)
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             rows = []
             for key, body, found in zip(*(part.column(carried + i).to_pylist() for i in range(3)), strict=True):
                 spans, nodes = [], []
@@ -287,7 +291,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         wide = np.repeat(what[more], high[more] // shape.narrow - low[more] // shape.narrow + 1)
                         core, hull = digests(body, p, c0, c1, match)
                         nodes.append((core, hull, np.where(wide == 2, 2, 1), p, lo, hi))
-                rows.append(_state(key, body, spans, nodes, give_text))
+                rows.append(_state(key, body, spans, nodes, give_text, min_words))
             yield _emit(part, carried, rows)
 
     wide = docs.join(settle(repeated), "row_key", "left").select(*first_columns, "row_key", "own_text", "found")
@@ -296,7 +300,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = xxhash.xxh3_128_intdigest
-        for part in parts:
+        for part in slices(parts):
             rows = []
             names = part.schema.names
             column = lambda c: part.column(names.index(c)).to_pylist()  # noqa: B023, E731
@@ -317,7 +321,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     halves = _signed([x >> 64 for x in ones]), _signed([x & (1 << 64) - 1 or 1 for x in ones])
                     start = np.array(at, np.int64)
                     nodes.append((*halves, np.array(weights, np.int64), start, np.zeros_like(start), np.zeros_like(start)))
-                rows.append(_state(key, body, spans, nodes, give_text))
+                rows.append(_state(key, body, spans, nodes, give_text, min_words))
             yield _emit(part, carried, rows)
 
     opened = first.filter(F.col("open_text").isNotNull())
@@ -325,14 +329,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     second = cut(closer.select(*first_columns, "row_key", "open_text", "spans", "found", "core", "hull", "place", "l0", "l1").mapInArrow(single, schema), "single")
 
     def last(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             rows = []
             names = part.schema.names
             column = lambda c: part.column(names.index(c)).to_pylist()  # noqa: B023, E731
             for key, body, spans, found, core, hull, place in zip(*map(column, ("row_key", "open_text", "spans", "found", "core", "hull", "place")), strict=True):
                 known = _known(found)
                 at = np.array([p for c, h, p in zip(core, hull, place, strict=True) if known.get((c, h), 0) > 0], np.int64)
-                rows.append(_state(key, body, [_pairs(spans), np.column_stack([at, at + match])], [], give_text))
+                rows.append(_state(key, body, [_pairs(spans), np.column_stack([at, at + match])], [], give_text, min_words))
             yield _emit(part, carried, rows)
 
     windows = second.filter(F.col("open_text").isNotNull())
