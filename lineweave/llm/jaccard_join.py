@@ -34,11 +34,15 @@ SHINGLE, PERCENT = 5, 80
 PART, PART_TOKENS, ASKING = 2000, 4_000_000, 500
 #: Documents of a block's part that others are compared with while groups are formed.
 LEADERS = 24
-#: A document asks a group if they share so many more tokens than one, early enough in both.
-EXTRA = 1
-#: The frequent-token map is a bitmap of this many cells whatever the size of the table: 2 MB.
+#: A document asks a group if they share so many more tokens than one, early enough in both; one of fewer than SHORT tokens,
+#: which is soon compared, if they share one.
+EXTRA, SHORT = 1, 256
+#: The map of frequent tokens has this many cells of two bits whatever the size of the table: 4 MB.
 CELLS = 1 << 24
-LOCAL_COUNT, TOTAL_COUNT = 4, 24
+#: Tokens that so many documents of some thousands hold are told; from so many documents over all, a token is of level 1, 2, 3.
+LOCAL_COUNT, LEVELS = 2, (12, 48, 192)
+#: Tokens that are counted at a time.
+COUNTED = 4_000_000
 KEYS = 3
 #: Of the keys, those that groups are formed by before the matrix; it finds all links whatever they do.
 ROUNDS = KEYS
@@ -86,59 +90,57 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def frequent_cells(docs: DataFrame) -> np.ndarray:
-    """A bitmap of token cells that many documents hold: LOCAL_COUNT or more in some millions of tokens, and TOTAL_COUNT
-    (more in a large table, where cells fill by chance) over all. It only orders tokens; what it misses costs no link."""
+    """Levels of token cells, two bits each: how many documents hold a cell's tokens, of those tokens that LOCAL_COUNT or
+    more documents hold among COUNTED tokens (cells that fill by chance in a large table count for nothing). It only
+    orders tokens; what it misses costs no link."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        most: dict = {}
 
-        def counted() -> None:
-            cells, n = np.unique(np.concatenate(held) & np.uint64(CELLS - 1), return_counts=True)
+        def counted() -> pa.RecordBatch:
+            own, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= LOCAL_COUNT
-            for c, k in zip(cells[often].tolist(), n[often].tolist(), strict=True):
-                most[c] = most.get(c, 0) + k
-            most[-1] = most.get(-1, 0) + 1
             held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((own[often] & np.uint64(CELLS - 1)).astype(np.int64)), pa.array(n[often])], names=["cell", "n"])
 
         for part in slices(parts):
             for body in part.column(0).to_pylist():
                 held.append(tokens(body))
                 size += len(held[-1])
-                if size > 4_000_000:
-                    counted()
+                if size > COUNTED:
+                    yield counted()
                     size = 0
         if held:
-            counted()
-        if most:
-            yield pa.RecordBatch.from_arrays([pa.array([*most], pa.int64()), pa.array([*most.values()], pa.int64())], names=["cell", "n"])
+            yield counted()
 
     cells = cut(docs.select("own_text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    counted = cells.filter("cell = -1").first()
-    least = max(TOTAL_COUNT, (counted["n"] if counted else 0) // 100)
-    cells = cells.filter((F.col("cell") >= 0) & (F.col("n") >= least))
-    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    bitmap = np.zeros(CELLS // 64, np.int64)
-    for row in words.collect():  # CELLS / 64 rows at most
-        bitmap[row["word"]] = row["bits"]
-    return bitmap.view(np.uint64)
-
-
-def ordered_prefix(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """The prefix of a set in the global order: rare before frequent, then by hash."""
+    chance = 4 * (cells.agg(F.sum("n")).first()[0] or 0) // CELLS  # what a cell holds on average, four times
+    n = F.col("n")
+    level = F.lit(0)
+    for k in LEVELS:
+        level = level + F.when(n >= max(k, chance), 1).otherwise(0)
+    of = cells.select("cell", level.cast("long").alias("level")).filter("level > 0")
+    words = of.groupBy(F.shiftright("cell", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(level, cast(2 * (cell & 31) as int))")).alias("bits"))
+    found = words.toArrow()  # CELLS / 32 rows at most
+    levels = np.zeros(CELLS // 32, np.int64)
+    levels[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    drop_cut(cells)
+    return levels.view(np.uint64)
+
+
+def ordered_prefix(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the global order: by level, rare ones first, then by hash."""
     cell = own & np.uint64(CELLS - 1)
-    often = (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
-    n = prefix_length(len(own))
-    rare = own[~often]
-    return rare[:n] if len(rare) >= n else np.concatenate([rare, own[often][: n - len(rare)]])
+    level = (levels[(cell >> np.uint64(5)).astype(np.int64)] >> (np.uint64(2) * (cell & np.uint64(31))) & np.uint64(3)).astype(np.uint8)
+    return own[np.argsort(level, kind="stable")[: prefix_length(len(own))]]
 
 
 def _bounds() -> dict[str, str]:
     """What a document of n tokens and a group with sets of group_low to group_high tokens must meet to link, as SQL.
 
     For sets of n and m tokens to link, a = ceil(0.8 (n + m) / 1.8) must be shared; then the k-th shared one in the
-    order (from 0) stands at n - a + k at most in one and at m - a + k in the other. So the first 1 + EXTRA of them are
-    at ``early`` places in both, or fewer where the kept prefixes, n - ceil(0.8 n) + 1 long, end before: ``need`` are left.
+    order (from 0) stands at n - a + k at most in one and at m - a + k in the other. So the first 1 + EXTRA of them (the
+    first, for a short document that asks) are at ``early`` places in both, or fewer where the kept prefixes, n - ceil(0.8 n) + 1 long, end before: ``need`` are left.
     The least of a is at the group's smallest set that fits, the least of what is left at the ends of its sizes; a group
     keeps of each token the least of (place - m + 0.8 m / 1.8) over its members.
     """
@@ -147,8 +149,9 @@ def _bounds() -> dict[str, str]:
     alpha = lambda m: up(f"{PERCENT} * (n + {m})", 100 + PERCENT)
     own = f"{alpha(least)} - {up(f'{PERCENT} * n', 100)} + 1"
     other = f"{alpha(most)} - {up(f'{PERCENT} * {most}', 100)} + 1 - if(group_low < group_high, 1, 0)"
-    early = f"place <= n - {alpha(least)} + {EXTRA} and group_place + {PERCENT} * n <= {EXTRA * (100 + PERCENT)}"
-    return {"fits": f"{least} <= {most}", "early": early, "need": f"greatest(1, least({own}, {other}, {1 + EXTRA}))"}
+    extra = f"if(n < {SHORT}, 0, {EXTRA})"
+    early = f"place <= n - {alpha(least)} + {extra} and group_place + {PERCENT} * n <= {100 + PERCENT} * {extra}"
+    return {"fits": f"{least} <= {most}", "early": early, "need": f"greatest(1, least({own}, {other}, 1 + {extra}))"}
 
 
 def _dealt(rows: DataFrame) -> DataFrame:

@@ -99,6 +99,9 @@ def test_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", 2)
     monkeypatch.setattr(jaccard_join, "ASKING", 2)
     monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "SHORT", 20)
+    monkeypatch.setattr(jaccard_join, "LEVELS", (2, 3, 5))
+    monkeypatch.setattr(jaccard_join, "PART_TOKENS", 100)
     assert sorted((tuple(r) for r in join_groups(df).collect()), key=str) == want
 
 
