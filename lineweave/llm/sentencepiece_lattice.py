@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lineweave.llm.common import cut, text_or_empty
+from lineweave.llm.common import cut, slices, text_or_empty
 
 SPACE = "▁"
 #: The commonest segments, whose encodings every task may hold: at most so many of at most so many characters.
@@ -34,7 +34,8 @@ COMMON, LONGEST_COMMON = 200_000, 48
 #: Segments longer than this (text without cuts) aren't exploded but encoded by the library itself.
 LONGEST = 64
 MASK = (1 << 40) - 1
-REMEMBERED = 500_000
+#: Words that a task counts before it tells them, and words whose encoding a task remembers.
+COUNTED, REMEMBERED = 150_000, 60_000
 
 
 class Pieces:
@@ -99,9 +100,11 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """
     n = F.char_length("segment")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("first"), (i + k).alias("last")))))
-    exploded = words.select("*", F.explode_outer(F.when((n > 0) & (n <= LONGEST), spans)).alias("x"))
+    none = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")))  # an empty substring, so that every segment meets a row
+    exploded = words.select("*", F.explode(F.when((n > 0) & (n <= LONGEST), F.concat(none, spans)).otherwise(none)).alias("x"))
     cut_out = exploded.select(*words.columns, "x.first", "x.last", F.expr("substring(segment, x.first + 1, x.last - x.first)").alias("piece"))
-    met = cut_out.join(F.broadcast(pieces), "piece", "left")
+    empty = pieces.limit(1).select(F.lit("").alias("piece"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("double").alias("score"))
+    met = cut_out.join(F.broadcast(pieces.filter("piece <> ''").unionByName(empty)), "piece")
     edge = F.when(F.col("id").isNotNull(), F.struct("first", "last", "score", "id"))
     return met.groupBy(*words.columns).agg(F.collect_list(edge).alias("edges"))
 
@@ -224,16 +227,16 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["segment", "n"])
 
-        for part in parts:
+        for part in slices(parts):
             for body in part.column(0).to_pylist():
                 words.update(cutter_.words(body))
-                if len(words) > REMEMBERED:
+                if len(words) > COUNTED:
                     yield told()
         if words:
             yield told()
 
     vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    encoded = cut(encode_vocabulary(spark, vocabulary, model_path), "encoded")
+    encoded = cut(encode_vocabulary(spark, vocabulary, model_path).drop("ids"), "encoded")
     common = encoded.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON)
     known = {r["segment"]: (bytes(r["packed"]), r["code"].to_bytes(8, "little")) for r in common.select("segment", "packed", "code").collect()}
     shared = spark.sparkContext.broadcast(known)  # COMMON entries at most
@@ -242,7 +245,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         """The segments of each row that aren't among the common ones."""
         cutter_, held = _cutter(model_path), shared.value
         ways: dict[str, tuple[str, ...]] = {}
-        for part in parts:
+        for part in slices(parts):
             keys, segs = [], []
             for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 rare: set[str] = set()
