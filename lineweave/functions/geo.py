@@ -51,6 +51,18 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * 6_371_008.8 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def geodesic_near(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres along the WGS84 ellipsoid between points a few kilometres apart, by the two radii of curvature at the middle
+    latitude; of Vincenty's result within a millimetre a kilometre, and JVM-side."""
+    f = 1 / 298.257223563
+    e2 = f * (2 - f)
+    mid = F.radians((lat1 + lat2) / 2)
+    w = 1 - e2 * F.sin(mid) ** 2
+    north = F.lit(A * (1 - e2)) / (w * F.sqrt(w)) * F.radians(lat2 - lat1)
+    east = F.lit(A) / F.sqrt(w) * F.cos(mid) * F.radians(lon2 - lon1)
+    return F.hypot(north, east)
+
+
 def vincenty(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     """Metres along the WGS84 geodesic, by Vincenty's inverse formula; for single pairs on the driver or in a UDF."""
     if (lon1, lat1) == (lon2, lat2):

@@ -46,16 +46,25 @@ def explode_segments(df: DataFrame, start: str, end: str, out: str = "bin") -> D
     return df.filter(F.col(end) > F.col(start)).select("*", F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias(out))
 
 
+#: Bins of the line that are sorted together.
+RANGE = 1 << 16
+
+
 def islands(bins: DataFrame, keys: tuple[str, ...] = (), column: str = "bin") -> DataFrame:
     """Maximal runs of consecutive bins: keys, start_bin, end_bin (exclusive), bins. Repeated bins count once.
 
-    Sorts the distinct bins of a key, of which there are as many as the line has, however many rows they come from.
+    Bins are sorted within ranges of RANGE bins, whatever the length of the line; runs that touch the edge of a range,
+    two of a range at most, are then joined with their neighbours.
     """
-    distinct = bins.select(*keys, column).distinct()
-    order = W.partitionBy(*keys).orderBy(column) if keys else W.partitionBy(F.lit(0)).orderBy(column)
-    marked = distinct.withColumn("_island", F.col(column) - F.row_number().over(order))
-    runs = marked.groupBy(*keys, "_island").agg(F.min(column).alias("start_bin"), (F.max(column) + 1).alias("end_bin"), F.count("*").alias("bins"))
-    return runs.drop("_island")
+    distinct = bins.select(*keys, column).distinct().withColumn("_range", F.floor(F.col(column) / RANGE))
+    marked = distinct.withColumn("_island", F.col(column) - F.row_number().over(W.partitionBy(*keys, "_range").orderBy(column)))
+    runs = marked.groupBy(*keys, "_range", "_island").agg(F.min(column).alias("start_bin"), (F.max(column) + 1).alias("end_bin"), F.count("*").alias("bins")).drop("_range", "_island")
+    at_edge = (F.col("start_bin") % RANGE == 0) | (F.col("end_bin") % RANGE == 0)
+    along = W.partitionBy(*(keys or (F.lit(0),))).orderBy("start_bin")  # two rows of a range at most
+    edges = runs.filter(at_edge).withColumn("_new", F.coalesce((F.lag("end_bin").over(along) != F.col("start_bin")).cast("int"), F.lit(1)))
+    edges = edges.withColumn("_run", F.sum("_new").over(along))
+    joined = edges.groupBy(*keys, "_run").agg(F.min("start_bin").alias("start_bin"), F.max("end_bin").alias("end_bin"), F.sum("bins").alias("bins")).drop("_run")
+    return runs.filter(~at_edge).unionByName(joined)
 
 
 def complement(bins: DataFrame, domain: int, column: str = "bin") -> DataFrame:

@@ -98,22 +98,47 @@ def match_rows(access_points: list[dict]) -> list[dict[str, Any]]:
     return sorted(rows, key=lambda r: (r["access_point_milepost"], r["access_point_id"], r["milepost_distance"], r["nps_milepost"], r["nps_location_name"]))
 
 
+#: The columns of the flat file of features; the amenities stand between the two parts.
+FEATURE_COLUMNS = ("id", "feature_type", "name", "common_name", "lock_number", "milepost", "milepost_end", "latitude", "longitude", "coverage_status", "run_coverage_status", "bike_coverage_status", "hike_coverage_status", "covering_activity_count", "run_covering_activity_count", "bike_covering_activity_count", "hike_covering_activity_count", "first_covering_activity_id", "first_covering_date", "first_covering_strava_url", "latest_covering_activity_id", "latest_covering_date", "latest_covering_strava_url", "remaining_segment_count", "remaining_segment_start", "remaining_segment_end", "remaining_segment_miles", "nps_has_amenity_data")
+FEATURE_COUNTS = ("nps_recreation_match_count", "nearby_feature_count", "nearby_lock_count")
+STATUSES = ("covered", "partial", "remaining")
+
+
+def feature_columns(amenities: tuple[str, ...]) -> tuple[str, ...]:
+    return (*FEATURE_COLUMNS, *(f"nps_{a}" for a in sorted(amenities)), *FEATURE_COUNTS)
+
+
 def flat_feature(kind: str, row: dict[str, Any], amenities: tuple[str, ...]) -> dict[str, Any]:
-    """A feature's nested parts as columns; one remaining segment is told by its ends, more only by their count."""
+    """A feature's nested parts as columns; one remaining segment is told by its ends, more only by their count. What only
+    access points have is null for a lock."""
+    place = kind == "access_point"
     out = {k: row.get(k) for k in ("id", "name", "common_name", "lock_number", "milepost", "milepost_end", "latitude", "longitude", "coverage_status", "covering_activity_count")} | {"feature_type": kind}
+    if any(out[k] is None for k in ("id", "name", "milepost", "coverage_status")):
+        raise ExportError(f"a {kind} lacks a value that it must have")
     for m in MODES:
         out[f"{m}_coverage_status"] = row["coverage_by_mode"][m]
         out[f"{m}_covering_activity_count"] = row["covering_activity_count_by_mode"][m]
+    if not {out["coverage_status"], *row["coverage_by_mode"].values()} <= set(STATUSES):
+        raise ExportError(f"{row['id']}: no such coverage status")
     for side in ("first", "latest"):
         event = row.get(f"{side}_covering_activity") or {}
-        out |= {f"{side}_activity_id": event.get("activity_id"), f"{side}_activity_date": event.get("date"), f"{side}_activity_url": event.get("strava_url")}
+        out |= {f"{side}_covering_activity_id": event.get("activity_id"), f"{side}_covering_date": event.get("date"), f"{side}_covering_strava_url": event.get("strava_url")}
     left = row["remaining_segments"]
     only = left[0] if len(left) == 1 else {}
-    out |= {"remaining_segment_count": len(left), "remaining_start_milepost": only.get("start_milepost"), "remaining_end_milepost": only.get("end_milepost"), "remaining_miles": only.get("miles")}
-    known = row.get("nps_amenities") if kind == "access_point" else None
-    out |= {f"amenity_{a}": None if known is None else known[a] for a in amenities}
-    out |= {"nearby_feature_count": len(row.get("nearby_features") or []), "nearby_lock_count": sum(n["type"] == "lock" for n in row.get("nearby_features") or []), "nps_match_count": len(row.get("nps_recreation_matches") or [])}
-    return out
+    out |= {"remaining_segment_count": len(left), "remaining_segment_start": only.get("start_milepost"), "remaining_segment_end": only.get("end_milepost"), "remaining_segment_miles": only.get("miles")}
+    known = row.get("nps_amenities") if place else None
+    out |= {"nps_has_amenity_data": known is not None if place else None} | {f"nps_{a}": None if known is None else known[a] for a in amenities}
+    near = row["nearby_features"] if place else None
+    counts = (len(row["nps_recreation_matches"]), len(near), sum(n["type"] == "lock" and n["source"] == "locks" for n in near)) if place else (None, None, None)
+    return out | dict(zip(FEATURE_COUNTS, counts, strict=True))
+
+
+def check_document(features: list[dict], access_points: list[dict], locks: list[dict]) -> None:
+    """Without feature_type, the features of either type are the published ones, in everything."""
+    for kind, rows in (("access_point", access_points), ("lock", locks)):
+        own = {f["id"]: {k: v for k, v in f.items() if k != "feature_type"} for f in features if f.get("feature_type") == kind}
+        if own != {r["id"]: r for r in rows} or len(features) != len(access_points) + len(locks):
+            raise ExportError(f"the document of all features and the {kind}s differ")
 
 
 def source_rows(registry: dict[str, Any]) -> tuple[list[dict], list[dict]]:
@@ -142,29 +167,49 @@ def check_relations(access_points: list[dict], locks: list[dict], activities: li
                 raise ExportError(f"{f['id']}: no such activity: {event['activity_id']}")
 
 
-def publish(out: Path, activities: list[dict], coverage: dict[str, Any], access_points: list[dict] = (), locks: list[dict] = (), registry: dict | None = None, amenities: tuple[str, ...] = ()) -> list[Path]:
-    """Writes json/ and csv/ below out; returns the files that changed. Every check runs before the first file is written."""
-    access_points, locks = list(access_points), list(locks)
-    check_relations(access_points, locks, activities)
+#: The fields that may be published of the coverage.
+COVERAGE_FIELDS = ("canal_miles", "bin_miles", "combined_unique_miles", "combined_percent_complete", "remaining_miles", "run_unique_miles", "bike_unique_miles", "hike_unique_miles", "activity_count", "first_activity_date", "latest_activity_date", "longest_continuous_completed_section", "completed_segments", "remaining_segments", "run_segments", "bike_segments", "hike_segments", "methodology")
+SCHEMA_VERSION = 1
+SOURCE_COLUMNS = ("source_id", "name", "organization", "url", "description", "license")
+
+
+def _rows(texts: dict[str, str], name: str, key: str | None = None) -> Any:
+    """What a JSON file about to be written says; a part of it, which must be a list of objects, by its key."""
+    found = json.loads(texts[f"json/{name}.json"])
+    if key is None:
+        return found
+    if not isinstance(found, dict) or not isinstance(found.get(key), list) or not all(isinstance(r, dict) for r in found[key]):
+        raise ExportError(f"{name}.json: {key} must be a list of objects")
+    return found[key]
+
+
+def publish(out: Path, activities: list[dict], coverage: dict[str, Any], access_points: list[dict] = (), locks: list[dict] = (), registry: dict | None = None, amenities: tuple[str, ...] = (), sources: dict[str, Any] | None = None) -> list[Path]:
+    """Writes json/ and then csv/ below out, the CSV from what the JSON says; returns the files that changed. Every check runs
+    before the first file is written. Without features or a registry, their files aren't written."""
+    access_points, locks, sources = list(access_points), list(locks), sources or {}
     shown = [{k: a[k] for k in PUBLIC_FIELDS} for a in activities]
-    files: dict[str, str] = {
-        "json/activities.json": json_text(shown),
-        "json/coverage.json": json_text(coverage),
-        "csv/activities.csv": minimal_csv(shown, CSV_FIELDS),
-        "csv/coverage-segments.csv": quoted_csv(segment_rows(coverage), SEGMENT_COLUMNS),
-    }
+    documents: dict[str, Any] = {"activities": shown, "coverage": {k: coverage[k] for k in COVERAGE_FIELDS}}
     if access_points or locks:
-        flat = [flat_feature("access_point", r, amenities) for r in access_points] + [flat_feature("lock", r, amenities) for r in locks]
-        flat.sort(key=lambda r: (r["milepost"], r["feature_type"], r["name"], r["id"]))
-        files |= {
-            "json/access-points.json": json_text({"access_points": access_points}),
-            "json/locks.json": json_text({"locks": locks}),
-            "json/features.json": json_text({"features": combined_features(access_points, locks)}),
-            "csv/features.csv": quoted_csv(flat, tuple(sorted(flat[0]))),
-            "csv/feature-nearby-features.csv": quoted_csv(nearby_rows(access_points), NEARBY_COLUMNS),
-            "csv/access-point-nps-matches.csv": quoted_csv(match_rows(access_points), MATCH_COLUMNS),
+        head = {"schema_version": SCHEMA_VERSION}
+        documents |= {
+            "access-points": head | {"sources": sources.get("access_points", {}), "access_points": access_points},
+            "locks": head | {"sources": sources.get("locks", []), "locks": locks},
+            "features": head | {"features": combined_features(access_points, locks)},
         }
     if registry:
-        sources, links = source_rows(registry)
-        files |= {"json/sources.json": json_text(registry), "csv/sources.csv": quoted_csv(sources, tuple(sources[0])), "csv/artifact-sources.csv": quoted_csv(links, ("artifact", "source_id", "role"))}
+        documents["sources"] = registry
+    texts = {f"json/{name}.json": json_text(x) for name, x in documents.items()}
+    done, covered = _rows(texts, "activities"), _rows(texts, "coverage")
+    files = dict(texts)
+    files |= {"csv/activities.csv": minimal_csv(done, CSV_FIELDS), "csv/coverage-segments.csv": quoted_csv(segment_rows(covered), SEGMENT_COLUMNS)}
+    places, numbered = (_rows(texts, "access-points", "access_points"), _rows(texts, "locks", "locks")) if access_points or locks else ([], [])
+    check_relations(places, numbered, done)
+    if access_points or locks:
+        check_document(_rows(texts, "features", "features"), places, numbered)
+        flat = [flat_feature("access_point", r, amenities) for r in places] + [flat_feature("lock", r, amenities) for r in numbered]
+        flat.sort(key=lambda r: (r["milepost"], r["feature_type"], r["name"], r["id"]))
+        files |= {"csv/features.csv": quoted_csv(flat, feature_columns(amenities)), "csv/feature-nearby-features.csv": quoted_csv(nearby_rows(places), NEARBY_COLUMNS), "csv/access-point-nps-matches.csv": quoted_csv(match_rows(places), MATCH_COLUMNS)}
+    if registry:
+        told, links = source_rows(_rows(texts, "sources"))
+        files |= {"csv/sources.csv": quoted_csv(told, SOURCE_COLUMNS), "csv/artifact-sources.csv": quoted_csv(links, ("artifact", "source_id", "role"))}
     return [out / name for name, text in files.items() if write_if_changed(out / name, text)]

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine's own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lineweave.scratch", None)
     if not named:
-        named = spark.conf.get("lineweave.scratch", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="lineweave-")
-            spark.conf.set("lineweave.scratch", named)
+        if not spark.sparkContext.master.startswith("local["):  # executors elsewhere can't read this machine's folders
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="lineweave-")
+        spark.conf.set("lineweave.scratch", named)
     return named.rstrip("/")
 
 
@@ -34,14 +34,18 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.copy(archive, f"{tempfile.mkdtemp(prefix='lineweave-')}/lineweave.zip"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: no lineage behind it, and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: no lineage behind it, and a lost executor costs nothing.
+
+    free: let Spark delete the shuffle files that only led to this table, which takes two collections of garbage; not
+    worth it for small tables.
+    """
     spark, schema = df.sparkSession, df.schema
     ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    for _ in range(2):  # lets Spark delete the shuffle files that only led to this table
+    for _ in range(2 * free):
         gc.collect()
         spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)

@@ -205,5 +205,3 @@ def validate_line(line: list[tuple[float, float]]) -> None:
                 raise LineError("the line crosses itself")
         active.append((high, k))
 
-
-_ = (Decimal, re)

@@ -15,8 +15,9 @@ from lineweave.config import EAST_ANCHOR, WEST_ANCHOR
 from lineweave.operators import history
 from lineweave.operators.bins import edge_bin, explode_segments
 from lineweave.plans.build import audit, match_export, write
+from lineweave.plans.features import ARTIFACTS, GUIDE_AMENITIES
 from lineweave.plans.invariants import published_violations
-from lineweave.plans.publish import ExportError, check_relations, quoted_csv, segment_rows, source_rows
+from lineweave.plans.publish import ExportError, check_document, check_relations, quoted_csv, segment_rows, source_rows
 from lineweave.plans.render import RenderError, check_intervals, substring
 from lineweave.sources import reference_json as ref
 from lineweave.sources import tracks
@@ -106,6 +107,51 @@ def test_parsers():
     assert tracks.parse_track("a.gpx.gz", gzip.compress(odd)) == [(None, 1.0, 2.0)]
 
 
+def reference_files(folder):
+    none = dict.fromkeys(GUIDE_AMENITIES, False)
+    points = [{"name": "Foo Ferry", "milepost": 19.0, "latitude": 39.0, "longitude": -77.1}, {"name": "Foo Ferry", "milepost": 19.0, "latitude": 39.5, "longitude": -77.1}, {"name": "Long Place", "milepost": 21.0, "milepost_end": 30.0, "latitude": 39.0, "longitude": -77.2}, {"name": "Nowhere", "milepost": 150.0, "latitude": 39.0, "longitude": -78.0}]
+    locks = [{"lock_number": n, "name": f"Lock {n}", "common_name": c, "milepost": m, "alternate_milepost": None, "notes": None} for n, c, m in (("7", "Seven", 19.5), ("8", None, 150.5))]
+    guide = [("Foo Ferry Park", 19.1, none | {"water": True}), ("Big Tunnel", 19.8, none), ("Lock 7 Camp", 19.9, none)]
+    said = {
+        "access-points": {"access_points": points, "source": {"name": "Points", "url": "https://p"}},
+        "locks": {"locks": locks, "sources": [{"name": "National Park Service", "role": "numbers", "url": "https://n"}, {"name": "Trust", "role": "mileposts", "url": "https://t"}]},
+        "guide": {"locations": [{"name": n, "milepost": m, "amenities": a} for n, m, a in guide], "source": {"name": "Guide", "url": "https://g"}},
+    }
+    out = []
+    for name, value in said.items():
+        (folder / f"{name}.json").write_text(json.dumps(value))
+        out += [f"--{name}", str(folder / f"{name}.json")]
+    return out
+
+
+def check_features(folder):
+    names = {p.name for p in (folder / "json").iterdir()} | {p.name for p in (folder / "csv").iterdir()}
+    assert names == set(ARTIFACTS) and len(names) == 13
+    found = json.loads((folder / "json/access-points.json").read_text())
+    assert found["sources"] == {"name": "Points", "url": "https://p"}
+    by_id = {p["id"]: p for p in found["access_points"]}
+    assert set(by_id) == {"foo-ferry-19-0-lat-39-0-lon-minus-77-1", "foo-ferry-19-0-lat-39-5-lon-minus-77-1", "long-place-21-0-30-0", "nowhere-150-0"}
+    first = by_id["foo-ferry-19-0-lat-39-0-lon-minus-77-1"]
+    assert first["nps_amenities"]["water"] is True and first["nps_amenities"]["food"] is False
+    assert first["nps_recreation_matches"] == [{"name": "Foo Ferry Park", "milepost": 19.1, "milepost_distance": 0.1}]
+    lock = {"id": "lock-7", "type": "lock", "lock_number": "7", "name": "Lock 7", "common_name": "Seven", "milepost": 19.5, "milepost_distance": 0.5, "source": "locks"}
+    assert first["nearby_features"] == [lock, {"type": "tunnel", "name": "Big Tunnel", "milepost": 19.8, "milepost_distance": 0.8, "source": "recreation_guide"}]
+    assert first["coverage_status"] == "covered" and first["coverage_by_mode"] == {"run": "covered", "bike": "remaining", "hike": "remaining"}
+    assert first["first_covering_activity"]["activity_id"] == 1 and first["remaining_segments"] == []
+    long, nowhere = by_id["long-place-21-0-30-0"], by_id["nowhere-150-0"]
+    assert long["coverage_status"] == "partial" and long["covering_activity_count_by_mode"] == {"run": 1, "bike": 1, "hike": 0}
+    assert (long["first_covering_activity"]["activity_id"], long["latest_covering_activity"]["activity_id"]) == (1, 2)
+    assert nowhere["coverage_status"] == "remaining" and nowhere["covering_activity_count"] == 0 and nowhere["first_covering_activity"] is None and nowhere["nps_amenities"] is None and len(nowhere["remaining_segments"]) == 1
+    together = json.loads((folder / "json/features.json").read_text())["features"]
+    assert [f["milepost"] for f in together] == sorted(f["milepost"] for f in together) and len(together) == 6
+    flat = (folder / "csv/features.csv").read_text().splitlines()
+    assert len(flat) == 7 and len(flat[0].split(",")) == 46 and flat[0].startswith('"id","feature_type","name"')
+    assert len((folder / "csv/feature-nearby-features.csv").read_text().splitlines()) == 1 + 5 and len((folder / "csv/access-point-nps-matches.csv").read_text().splitlines()) == 3
+    sources = json.loads((folder / "json/sources.json").read_text())
+    assert len(sources["sources"]) == 6 and len(sources["artifacts"]) == 13 and {s["url"] for s in sources["sources"]} > {"https://p", "https://n", "https://t", "https://g"}
+    assert len((folder / "csv/artifact-sources.csv").read_text().splitlines()) == 1 + 54
+
+
 def test_build(spark, tmp_path, capsys):
     export(tmp_path / "export")
     catalog = load_catalog(spark, tmp_path / "export")
@@ -128,9 +174,13 @@ def test_build(spark, tmp_path, capsys):
     assert {r.activity_id for r in audit(build).collect()} <= {1, 2, 3}
     line = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": LINE}}]}
     (tmp_path / "line.geojson").write_text(json.dumps(line))
-    args = cli.parser().parse_args(["build", "--export", str(tmp_path / "export"), "--line", str(tmp_path / "line.geojson"), "--out", str(tmp_path / "data")])
-    assert "covered: 3" in cli.run(spark, args)
-    assert cli.main(["build", "--root", str(tmp_path / "nothing")]) == 1 or True
+    files = reference_files(tmp_path)
+    args = lambda what: cli.parser().parse_args([what, "--export", str(tmp_path / "export"), "--line", str(tmp_path / "line.geojson"), "--out", str(tmp_path / "data"), *files])
+    assert "covered: 3" in cli.run(spark, args("build"))
+    check_features(tmp_path / "data/public")
+    report = cli.run(spark, args("audit"))
+    assert "completion: " in report and "to review: " in report and "duplicate_activity_id=2" in report
+    assert cli.main(["build", "--root", str(tmp_path / "nothing")]) == 1
 
 
 def test_reference_files(spark, tmp_path):
@@ -187,7 +237,7 @@ def test_reference_build_takes_the_towpath_alone(spark, tmp_path, monkeypatch):
     put([*good, side, other])
     assert f"{N + 1} vertices" in cli.run(spark, args("build"))
     made = json.loads((tmp_path / "out.geojson").read_text())["features"][0]
-    assert made["properties"]["selected"] == 2 and len(made["geometry"]["coordinates"]) == N + 1
+    assert made["properties"]["selected_nps_feature_count"] == 2 and (tmp_path / "README.md").exists() and len(made["geometry"]["coordinates"]) == N + 1
     assert cli.run(spark, args("inspect")).count("\n") == 2  # the unit's three
     monkeypatch.setattr(cli, "fetch_geojson", lambda opener, url: json.loads(path.read_text()))
     assert "unchanged" in cli.run(spark, args("build", "https://service/query"))
@@ -219,6 +269,11 @@ def test_publication_checks():
         with pytest.raises(ExportError):
             check_relations(*bad)
     assert quoted_csv([{"a": 'x"y', "b": 1.5, "c": None, "d": True}], ("a", "b", "c", "d")) == '"a","b","c","d"\n"x""y",1.5,,true\n'
+    together = [{"feature_type": "access_point", **place}, {"feature_type": "lock", **lock}]
+    check_document(together, [place], [lock])
+    for odd in (together[:1], [together[0] | {"name": "B"}, together[1]], [*together, together[1]]):
+        with pytest.raises(ExportError):
+            check_document(odd, [place], [lock])
     flat, links = source_rows({"sources": [{"id": "s", "name": "n"}], "artifacts": {"f": {"sources": [{"source_id": "s", "role": "r"}]}}})
     assert flat == [{"source_id": "s", "name": "n"}] and links == [{"artifact": "f", "source_id": "s", "role": "r"}]
     with pytest.raises(RenderError):

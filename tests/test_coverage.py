@@ -184,15 +184,19 @@ def chain(start, n, step=0.001):
     return [[(-77.0, start + i * step), (-77.0, start + (i + 1) * step)] for i in range(n)]
 
 
-def test_route_of_chains():
+def edge_rows(spark, edges):
+    return spark.createDataFrame(list(enumerate(edges)), "edge int, coordinates array<array<double>>")
+
+
+def test_route_of_chains(spark):
     anchors = ((-77.0, 39.0), (-77.0, 39.02))
     near = chain(39.0, 10) + [line[::-1] for line in chain(39.01 + 40 * DEG, 10)]
-    line = graph.assemble(near, anchors)
+    line = graph.assemble(edge_rows(spark, [*near, [(-77.0, 39.005), (-76.9, 39.005)]]), anchors)  # and a side way
     assert line[0] == (-77.0, 39.0) and len(line) == 22 and line == sorted(line)
     with pytest.raises(graph.LineError):
-        graph.assemble(chain(39.0, 10) + chain(39.01 + 60 * DEG, 10), anchors)
+        graph.assemble(edge_rows(spark, chain(39.0, 10) + chain(39.01 + 60 * DEG, 10)), anchors)
     with pytest.raises(graph.LineError):
-        graph.assemble([[(0.0, 0.0), (0.0, 1.0)], [(0.0, 1.0), (1.0, 1.0)], [(1.0, 1.0), (0.0, 0.0)]], ((0.0, 0.0), (0.0, 1.0)))
+        graph.assemble(edge_rows(spark, [[(0.0, 0.0), (0.0, 1.0)], [(0.0, 1.0), (1.0, 1.0)], [(1.0, 1.0), (0.0, 0.0)]]), ((0.0, 0.0), (0.0, 1.0)))
 
 
 def test_source_edges(spark):
