@@ -98,6 +98,13 @@ def load_catalog(spark: SparkSession, folder: str | Path) -> Catalog:
     """Candidates are the rows of the types wanted. Each gives an activity or one issue, by the first rule it breaks (id,
     repeated id, date); a file that is missing, unsafe or not named is an issue too, but the activity stays."""
     frame = read_raw(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(folder)).select(F.col("path"))
+    root = Path(folder).resolve().as_posix()
+    return judge_catalog(frame, files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path")), root)
+
+
+def judge_catalog(frame: DataFrame, files: DataFrame, root: str) -> Catalog:
+    """The catalog of raw rows (every cell as text) and the paths of the files that exist, of which those below root count."""
     check_repeated(frame)
     detail = lambda name: f"{name}.1" if f"{name}.1" in frame.columns else name
     types = frame.groupBy(F.coalesce(_text("Activity Type"), F.lit("(missing)")).alias("activity_type")).agg(F.count("*").alias("n"))
@@ -108,9 +115,7 @@ def load_catalog(spark: SparkSession, folder: str | Path) -> Catalog:
     meters = distance if detail("Distance").endswith(".1") else distance * 1000
     mapping = F.create_map(*(F.lit(x) for pair in TYPE_MAPPING.items() for x in pair))
     name = _text("Filename")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(folder)).select(F.col("path"))
-    root = Path(folder).resolve().as_posix()
-    existing = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("_there")).filter(F.startswith("_there", F.lit(root)))
+    existing = files.select(F.col("path").alias("_there")).filter(F.startswith("_there", F.lit(root)))
     unsafe = F.startswith(name, F.lit("/")) | F.concat(F.lit("/"), name, F.lit("/")).contains("/../")
     listed = rows.select(
         F.col("Activity ID").try_cast("long").alias("activity_id"),
