@@ -65,7 +65,7 @@ def published_activities(spark: SparkSession, d: str) -> DataFrame:
     """Records of activities with their match statistics, history and segments."""
     o = _t(spark, d, "orders")
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
-    activities = o.select(F.col("o_orderkey").alias("activity_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("activity_name"), F.col("o_totalprice").alias("distance_meters"), (F.col("o_totalprice") / 7).alias("moving_seconds"), *none("double", "elapsed_seconds", "elevation_gain_meters", "elevation_loss_meters", "average_heart_rate", "max_heart_rate", "calories"), *none("string", "description", "filename"))
+    activities = o.select(F.col("o_orderkey").alias("activity_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("activity_name"), F.col("o_totalprice").alias("distance_meters"), (F.sqrt("o_totalprice") * 100).alias("moving_seconds"), *none("double", "elapsed_seconds", "elevation_gain_meters", "elevation_loss_meters", "average_heart_rate", "max_heart_rate", "calories"), *none("string", "description", "filename"))
     l = _t(spark, d, "lineitem")
     stats = l.groupBy(F.col("l_orderkey").alias("activity_id")).agg(F.count_if(F.col("l_quantity") > 25).alias("matched_points"), F.count("*").alias("total_points"), F.min("l_discount").alias("median_offset"), F.max("l_discount").alias("p90_offset"), F.max("l_tax").alias("median_alignment"), F.sum("l_quantity").alias("travel_miles"))
     n = _domain(spark, d)
@@ -88,7 +88,7 @@ def segment_report(spark: SparkSession, d: str) -> DataFrame:
     start = F.round((F.col("l_partkey") * 40 + F.floor("l_quantity")) * 0.01, 2) + F.when(F.col("l_suppkey") % 13 == 0, 0.003).otherwise(0.0)
     end = F.round((F.col("l_partkey") * 40 + F.floor("l_quantity") + F.col("l_linenumber") + F.when(F.col("l_suppkey") % 7 == 0, -4).otherwise(1)) * 0.01, 2)
     miles = F.when(F.col("l_suppkey") % 17 == 0, F.lit(None)).when(F.col("l_suppkey") % 19 == 0, 1.0).otherwise(F.round(end - start, 6))
-    rows = l.select("l_orderkey", (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_quantity") * 100 + F.col("l_suppkey") % 100).alias("pos"), start.alias("start_milepost"), end.alias("end_milepost"), miles.cast("double").alias("miles"))
+    rows = l.select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_quantity") * 100 + F.col("l_suppkey") % 100).alias("pos"), start.alias("start_milepost"), end.alias("end_milepost"), miles.cast("double").alias("miles"))
     return segment_violations(rows, ("l_orderkey",), LineConfig(line_miles=(n - 500) * 0.01))
 
 
@@ -182,7 +182,7 @@ SQL: dict[str, str] = {
     "catalog_scan": f"WITH {_RAW} SELECT id AS activity_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'Event ' || n AS activity_name, original_type, CASE original_type WHEN 'Run' THEN 'run' WHEN 'Ride' THEN 'bike' ELSE 'hike' END AS mode, v AS elapsed_seconds, CASE WHEN n % 23 < 2 THEN NULL ELSE v END AS moving_seconds, m AS distance_meters, CASE WHEN NOT unsafe THEN file END AS filename, CASE WHEN there THEN '/x/' || file END AS track FROM judged WHERE skip IS NULL",
     "catalog_issues": f"WITH {_RAW} SELECT coalesce(id, -1) AS activity_id, coalesce(skip, lost) AS code FROM judged WHERE coalesce(skip, lost) IS NOT NULL",
     "type_counts": f"WITH {_RAW} SELECT coalesce(original_type, CASE WHEN n % 3 = 0 THEN '(missing)' ELSE nullif(trim(event_type), '') END, '(missing)') AS activity_type, count(*) AS n FROM raw GROUP BY 1",
-    "published_activities": f"WITH {_HIST}, own AS (SELECT DISTINCT activity_id, bin FROM ab), i AS (SELECT activity_id, min(bin) AS a, max(bin) + 1 AS b FROM (SELECT *, bin - row_number() OVER (PARTITION BY activity_id ORDER BY bin) AS g FROM own) GROUP BY activity_id, g), s AS (SELECT activity_id, count(*) AS k, min(a) AS a, max(b) AS b FROM i GROUP BY activity_id), st AS (SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS mp, count(*) AS tp, sum(l_quantity) AS tm FROM lineitem GROUP BY 1) SELECT o_orderkey AS activity_id, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%H:%M:%SZ') AS time, o_orderpriority AS activity_name, o_orderstatus AS activity_type, round(o_totalprice / 1609.344, 3) AS strava_distance_miles, round(tm, 3) AS co_travel_miles, round(u * 0.01::DOUBLE, 2) AS co_unique_miles, round(new * 0.01::DOUBLE, 2) AS new_co_unique_miles, round(c * 0.01::DOUBLE, 2) AS cumulative_unique_miles, round(a * 0.01::DOUBLE, 2) AS min_milepost, round(b * 0.01::DOUBLE, 2) AS max_milepost, round(o_totalprice / 7 / 60, 2) AS moving_time_minutes, mp AS matched_point_count, round(mp * 100.0::DOUBLE / tp, 2) AS match_percentage, k AS n_segments, 'https://a/' || o_orderkey AS strava_url FROM h JOIN s USING (activity_id) JOIN st ON l_orderkey = activity_id JOIN orders ON o_orderkey = activity_id",
+    "published_activities": f"WITH {_HIST}, own AS (SELECT DISTINCT activity_id, bin FROM ab), i AS (SELECT activity_id, min(bin) AS a, max(bin) + 1 AS b FROM (SELECT *, bin - row_number() OVER (PARTITION BY activity_id ORDER BY bin) AS g FROM own) GROUP BY activity_id, g), s AS (SELECT activity_id, count(*) AS k, min(a) AS a, max(b) AS b FROM i GROUP BY activity_id), st AS (SELECT l_orderkey, count(*) FILTER (l_quantity > 25) AS mp, count(*) AS tp, sum(l_quantity) AS tm FROM lineitem GROUP BY 1) SELECT o_orderkey AS activity_id, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%H:%M:%SZ') AS time, o_orderpriority AS activity_name, o_orderstatus AS activity_type, round(o_totalprice / 1609.344, 3) AS strava_distance_miles, round(tm, 3) AS co_travel_miles, round(u * 0.01::DOUBLE, 2) AS co_unique_miles, round(new * 0.01::DOUBLE, 2) AS new_co_unique_miles, round(c * 0.01::DOUBLE, 2) AS cumulative_unique_miles, round(a * 0.01::DOUBLE, 2) AS min_milepost, round(b * 0.01::DOUBLE, 2) AS max_milepost, round(sqrt(o_totalprice) * 100 / 60, 2) AS moving_time_minutes, mp AS matched_point_count, round(mp * 100.0::DOUBLE / tp, 2) AS match_percentage, k AS n_segments, 'https://a/' || o_orderkey AS strava_url FROM h JOIN s USING (activity_id) JOIN st ON l_orderkey = activity_id JOIN orders ON o_orderkey = activity_id",
     "invariant_report": f"WITH {_HIST}, x AS (SELECT activity_id, ts, u, CASE WHEN activity_id % 97 = 0 THEN -1 WHEN activity_id % 89 = 0 THEN u + 1 ELSE new END AS new, CASE WHEN activity_id % 101 = 0 THEN c - 700 ELSE c END AS c FROM h), y AS (SELECT *, lag(c) OVER (PARTITION BY ts::DATE ORDER BY ts, activity_id) AS before FROM x), r AS (SELECT count(*) FILTER (new < 0) AS r1, count(*) FILTER (new > u) AS r2, count(*) FILTER (c < before) AS r3, max(c) AS fin, sum(new) AS sn, arg_max(c, row(ts, activity_id)) AS la FROM y), q AS (SELECT count(DISTINCT bin) AS un, count(*) FILTER (bin < 0 OR bin >= n - 500) AS outside FROM seg2, dom GROUP BY ()) SELECT unnest(['new_not_negative', 'new_at_most_unique', 'cumulative_never_falls', 'final_is_union', 'sum_of_new_is_union', 'within_line', 'chronological']) AS rule, CAST(unnest([r1, r2, r3, (fin <> un)::BIGINT, (sn <> un)::BIGINT, outside, (la <> fin)::BIGINT]) AS BIGINT) AS violations FROM r, q".replace("FROM seg2, dom GROUP BY ()", "FROM (SELECT unnest(range(start_bin, end_bin)) AS bin FROM seg), dom"),
     "segment_report": "WITH dom AS (SELECT (count(*) * 40 + 60 - 500) * 0.01::DOUBLE AS n FROM part), r AS (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_quantity * 100 + l_suppkey % 100 AS pos, round((l_partkey * 40 + floor(l_quantity)) * 0.01::DOUBLE, 2) + CASE WHEN l_suppkey % 13 = 0 THEN 0.003::DOUBLE ELSE 0 END AS s, round((l_partkey * 40 + floor(l_quantity) + l_linenumber + CASE WHEN l_suppkey % 7 = 0 THEN -4 ELSE 1 END) * 0.01::DOUBLE, 2) AS e, l_suppkey FROM lineitem), m AS (SELECT *, CASE WHEN l_suppkey % 17 = 0 THEN NULL WHEN l_suppkey % 19 = 0 THEN 1.0::DOUBLE ELSE round(e - s, 6) END AS miles, lag(e) OVER (PARTITION BY l_orderkey ORDER BY pos) AS before FROM r), c AS (SELECT count(*) FILTER (miles IS NULL) AS a, count(*) FILTER (s < 0 OR s >= e OR e > n) AS b, count(*) FILTER (s < before - 1e-8) AS c, count(*) FILTER (NOT (abs(round(s / 0.01::DOUBLE) * 0.01::DOUBLE - s) <= 1e-8) OR NOT (abs(round(e / 0.01::DOUBLE) * 0.01::DOUBLE - e) <= 1e-8)) AS d, count(*) FILTER (NOT abs(miles - (e - s)) <= greatest(1e-9 * greatest(abs(miles), abs(e - s)), 1e-8)) AS f FROM m, dom) SELECT unnest(['well_formed', 'inside_line', 'ordered_apart', 'on_bin_edges', 'miles_from_ends']) AS rule, unnest([a, b, c, d, f]) AS violations FROM c",
     "locks_published": f"WITH {_SEG}, {_LOCK}, hit AS (SELECT s_suppkey, activity_id, any_value(ts) AS ts, any_value(mode) AS mode FROM lb JOIN ab USING (bin) GROUP BY s_suppkey, activity_id), g AS (SELECT s_suppkey, count(*) AS c, count(*) FILTER (mode = 'F') AS f, count(*) FILTER (mode = 'O') AS o, count(*) FILTER (mode = 'P') AS p, arg_min(activity_id, row(ts, activity_id::VARCHAR)) AS a, arg_max(activity_id, row(ts, activity_id::VARCHAR)) AS z FROM hit GROUP BY s_suppkey), rem AS (SELECT round(start_bin * 0.01::DOUBLE, 2) AS x, round(end_bin * 0.01::DOUBLE, 2) AS y FROM isl WHERE coverage_status = 'remaining'), lf AS (SELECT s_suppkey, count(*) AS k FROM lk JOIN rem ON x <= milepost AND (y > milepost OR (y = milepost AND milepost = (SELECT n * 0.01::DOUBLE FROM dom))) GROUP BY s_suppkey) SELECT 'lock-' || lk.s_suppkey AS id, CASE WHEN c > 0 THEN 'covered' ELSE 'remaining' END AS coverage_status, CASE WHEN f > 0 THEN 'covered' ELSE 'remaining' END AS run_status, CASE WHEN o > 0 THEN 'covered' ELSE 'remaining' END AS bike_status, CASE WHEN p > 0 THEN 'covered' ELSE 'remaining' END AS hike_status, coalesce(f, 0) AS run_count, coalesce(o, 0) AS bike_count, coalesce(p, 0) AS hike_count, coalesce(c, 0) AS covering_activity_count, coalesce(a, -1) AS first_id, coalesce(strftime(oa.o_orderdate, '%Y-%m-%d'), '') AS first_date, coalesce('u' || z, '') AS latest_url, CASE WHEN c > 0 THEN 0 ELSE coalesce(k, 0) END AS n_remaining FROM lk LEFT JOIN g USING (s_suppkey) LEFT JOIN lf USING (s_suppkey) LEFT JOIN orders oa ON oa.o_orderkey = a",
