@@ -85,7 +85,13 @@ class Parsed:
 
     def turns(self, layout: Layout, turn) -> Column:
         one = lambda v, name: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
-        return F.transform(F.try_variant_get(self.record, layout.turns, "array<variant>"), lambda v: turn(one(v, layout.role), one(v, layout.text)))
+        return F.transform(F.try_variant_get(self.record, layout.turns, "array<variant>"), lambda v: turn(one(v, layout.role), F.coalesce(self._joined(v, layout.text), one(v, layout.text))))
+
+    @staticmethod
+    def _joined(v: Column, name: str) -> Column:
+        """The texts of a content given in parts, strings or objects with a text, one after the other; null for any other."""
+        said = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.lit(""))
+        return F.array_join(F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), said), "")
 
 
 class Declared:
@@ -180,8 +186,9 @@ def _role_mark(role: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns_col: str, keep: tuple[str, ...], learn: str = "assistant") -> DataFrame:
-    """keep, then formatted: the template's string; pieces: array of (block, on, from, count), one a turn, in order: the
-    part of formatted that the turn takes, whether the loss mask is on in it, and there the first character (from 1) and the number of characters under the mask.
+    """keep, then formatted: the template's string; mask: array of (on, from, count), one a turn, in order: whether the
+    loss mask is on in the turn's block of formatted, and there the first character (from 1) and the number of
+    characters that it covers. An empty array of turns gives an empty string and mask; a null text or role is empty.
 
     A block is <|im_start|>role, newline, escaped text, newline, <|im_end|>, newline; its role is URL-encoded. The
     newline after a text keeps the text's own backslashes from the mark behind it. No turn gives an empty string.
@@ -194,22 +201,25 @@ def format_turns(df: DataFrame, turns_col: str, keep: tuple[str, ...], learn: st
 
     pieces = F.transform(F.col(turns_col), block)
     made = df.select(*keep, pieces.alias("pieces"))
-    return made.select(*keep, F.array_join(F.transform("pieces", lambda p: p["block"]), "").alias("formatted"), "pieces")
+    return made.select(*keep, F.array_join(F.transform("pieces", lambda p: p["block"]), "").alias("formatted"), F.transform("pieces", lambda p: p.dropFields("block")).alias("mask"))
+
+
+def _blocks(formatted: Column) -> Column:
+    """The blocks of a formatted string, one a turn, without their closing marks."""
+    return F.filter(F.split(formatted, rf"(?<!\\){re.escape(CLOSE)}\n"), lambda b: b != "")
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns that a formatted string says: array of (role, text)."""
-    blocks = F.split(formatted, rf"(?<!\\){re.escape(CLOSE)}\n")
-    whole = F.filter(blocks, lambda b: b != "")
     header = rf"(?s)\A{re.escape(OPEN)}([^\n]*)\n.*"
     text = lambda b: unescape(F.substr(b, F.locate("\n", b) + 1, F.char_length(b) - F.locate("\n", b) - 1))
-    return F.transform(whole, lambda b: F.struct(F.url_decode(F.regexp_extract(b, header, 1)).alias("role"), text(b).alias("text")))
+    return F.transform(_blocks(formatted), lambda b: F.struct(F.url_decode(F.regexp_extract(b, header, 1)).alias("role"), text(b).alias("text")))
 
 
-def masked_text(pieces: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    on = F.filter(pieces, lambda p: p["on"])
-    return F.array_join(F.transform(on, lambda p: unescape(F.substr(p["block"], p["from"], p["count"]))), "")
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """All text of a formatted string under its loss mask, unescaped, nothing between."""
+    covered = lambda b, m: F.when(m["on"], unescape(F.substr(b, m["from"], m["count"]))).otherwise("")
+    return F.array_join(F.zip_with(_blocks(formatted), mask, covered), "")
 
 
 def conversations_as_records(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -233,7 +243,7 @@ def format_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str =
     records = conversations_as_records(df, id_col, turn_col, role_col, text_col)
     turns = canonical_turns(records, "record", (id_col,))
     formatted = format_turns(turns, "turns", (id_col, "layout", "fingerprint"))
-    back = formatted.select(id_col, "layout", "fingerprint", "formatted", read_turns(F.col("formatted")).alias("turns"), masked_text(F.col("pieces")).alias("loss"))
+    back = formatted.select(id_col, "layout", "fingerprint", "formatted", read_turns(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         id_col,

@@ -162,7 +162,7 @@ def test_chat_round_trip(spark):
     turns = [{"role": ["user", "assistant", "sys tem\n<s>", ""][k % 4], "text": t} for k, t in enumerate(texts)]
     df = spark.createDataFrame([(1, turns), (2, [])], "id int, turns array<struct<role:string,text:string>>")
     out = chat_format.format_turns(df, "turns", ("id",))
-    got = {r.id: r for r in out.select("id", "formatted", chat_format.read_turns(F.col("formatted")).alias("back"), chat_format.masked_text(F.col("pieces")).alias("loss")).collect()}
+    got = {r.id: r for r in out.select("id", "formatted", chat_format.read_turns(F.col("formatted")).alias("back"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
     assert [b.asDict() for b in got[1].back] == turns and got[2].formatted == "" and got[2].back == []
     assert got[1].loss == "".join(t["text"] for t in turns if t["role"] == "assistant")
 
@@ -206,6 +206,16 @@ def test_records_of_two_layouts(spark):
     assert got[4] == ("question", [("user", "q")])
 
 
+def test_contents_in_parts(spark):
+    rows = [
+        (1, '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},{"type":"text","text":"b"}]},{"role":"assistant","content":["c","d"]}]}'),
+        (2, '{"messages":[]}'),
+        (3, '{"messages":[{"role":"user","content":null},{"role":"assistant","content":"[1]"}]}'),
+    ]
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns(spark.createDataFrame(rows, "id int, j string"), "j", ("id",)).collect()}
+    assert got == {1: ("messages", [("user", "ab"), ("assistant", "cd")]), 2: ("messages", []), 3: ("messages", [("user", ""), ("assistant", "[1]")])}
+
+
 def test_conversations(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (None, 0, "user", "x"), (2, 0, None, ""), (2, 0, None, "")]
     got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("layout", F.lit(0))).collect()}
