@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def event_bins(events: DataFrame, watermark: str, window: str) -> DataFrame:
-    """(window, mode, bins): distinct bins by time window, late rows beyond the watermark dropped."""
+    """(window, mode, bins): distinct bins by time window, approximately (streams have no exact distinct count), late rows beyond the watermark dropped."""
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("window"), "mode").agg(F.approx_count_distinct("bin").alias("bins"))
 
 
