@@ -35,7 +35,7 @@ COMMON, LONGEST_COMMON = 200_000, 48
 LONGEST = 64
 MASK = (1 << 40) - 1
 #: Words that a task counts before it tells them, and words whose encoding a task remembers.
-COUNTED, REMEMBERED = 150_000, 60_000
+COUNTED, REMEMBERED = 30_000, 30_000
 
 
 class Pieces:
@@ -181,10 +181,12 @@ def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) ->
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        for part in parts:
+        for part in slices(parts, 1024):
             segs, found = part.column(0).to_pylist(), part.column(2)
-            first, last, score, piece = (found.values.field(k).to_pylist() for k in range(4))
-            ends, ids = found.offsets.to_pylist(), []
+            places = found.offsets.to_numpy()
+            own_edges = found.values.slice(places[0], places[-1] - places[0])
+            first, last, score, piece = (own_edges.field(k).to_pylist() for k in range(4))
+            ends, ids = (places - places[0]).tolist(), []
             for k, segment in enumerate(segs):
                 if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
                     lead = segment.startswith(SPACE)
