@@ -30,7 +30,7 @@ from lineweave.llm.common import cut, slices, text_or_empty
 
 SPACE = "▁"
 #: The commonest segments, whose encodings every task may hold: at most so many of at most so many characters.
-COMMON, LONGEST_COMMON = 200_000, 48
+COMMON, LONGEST_COMMON = 60_000, 48
 #: Segments longer than this (text without cuts) aren't exploded but encoded by the library itself.
 LONGEST = 64
 MASK = (1 << 40) - 1
@@ -271,7 +271,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         """The ids of the words of each row, put together in their order."""
         cutter_, held = _cutter(model_path), shared.value
         ways: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-        for part in parts:
+        for part in slices(parts):
             bodies, rares = part.column(1).to_pylist(), [part.column(k) for k in (2, 3, 4)]
             for at in range(0, len(bodies), 256):
                 ids, digests = [], []
