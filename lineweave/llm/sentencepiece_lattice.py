@@ -30,12 +30,12 @@ from lineweave.llm.common import cut, slices, text_or_empty
 
 SPACE = "▁"
 #: The commonest segments, whose encodings every task may hold: at most so many of at most so many characters.
-COMMON, LONGEST_COMMON = 60_000, 48
+COMMON, LONGEST_COMMON = 200_000, 48
 #: Segments longer than this (text without cuts) aren't exploded but encoded by the library itself.
 LONGEST = 64
 MASK = (1 << 40) - 1
 #: Words that a task counts before it tells them, and words whose encoding a task remembers.
-COUNTED, REMEMBERED = 30_000, 30_000
+COUNTED, REMEMBERED = 150_000, 60_000
 
 
 class Pieces:
@@ -181,12 +181,10 @@ def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) ->
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        for part in slices(parts, 1024):
+        for part in parts:
             segs, found = part.column(0).to_pylist(), part.column(2)
-            places = found.offsets.to_numpy()
-            own_edges = found.values.slice(places[0], places[-1] - places[0])
-            first, last, score, piece = (own_edges.field(k).to_pylist() for k in range(4))
-            ends, ids = (places - places[0]).tolist(), []
+            first, last, score, piece = (found.values.field(k).to_pylist() for k in range(4))
+            ends, ids = found.offsets.to_pylist(), []
             for k, segment in enumerate(segs):
                 if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
                     lead = segment.startswith(SPACE)
@@ -271,7 +269,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         """The ids of the words of each row, put together in their order."""
         cutter_, held = _cutter(model_path), shared.value
         ways: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-        for part in slices(parts):
+        for part in parts:
             bodies, rares = part.column(1).to_pylist(), [part.column(k) for k in (2, 3, 4)]
             for at in range(0, len(bodies), 256):
                 ids, digests = [], []
