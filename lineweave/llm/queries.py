@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lineweave.llm.chat_format import format_conversations
 from lineweave.llm.common import read
 from lineweave.llm.jaccard_join import join_groups
-from lineweave.llm.license_scan import TEMPLATES, scan
+from lineweave.llm.license_scan import SHINGLE, TEMPLATES, scan
 from lineweave.llm.line_dedup import drop_boilerplate
 from lineweave.llm.packing import pack_documents
 from lineweave.llm.quality_rules import judge
@@ -99,21 +100,22 @@ SELECT doc_id, source, n_lines, n_dropped, length(kept) AS n_chars_kept, sha256(
 """
 
 
-
-
 def _op7() -> str:
-    """Containment by exact comparison of the 5-grams' words."""
+    """Containment by exact comparison of the 5-grams' words; a template of fewer words is one gram of its own length."""
     given = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
-    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-    short = f"list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) <= 100), lambda x: {words('x')}), lambda ws: len(ws) BETWEEN 1 AND 4)"
-    grams = f"list_concat(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')), list_transform({short}, lambda x: 'line ' || array_to_string(x, ' ')))"
-    split = lambda key, table: f"SELECT DISTINCT {key}, unnest({grams}) AS gram FROM (SELECT *, {words('text')} AS ws FROM {table})"
+    sizes = {len([w for w in re.split(r"[\W_]+", t) if w]) for t in TEMPLATES.values()}
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    grams = lambda n: f"list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))"
+    short = ", ".join(grams(n) for n in sorted(sizes) if 0 < n < SHINGLE)
+    every = f"list_concat({grams(SHINGLE)}, {short})" if short else grams(SHINGLE)
+    own = f"CASE WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')] ELSE {grams(SHINGLE)} END"
+    split = lambda key, table, found: f"SELECT DISTINCT {key}, unnest({found}) AS gram FROM (SELECT *, {words} AS ws FROM {table})"
     return f"""
 WITH given(license, text) AS (VALUES {given}),
-t AS ({split('license', 'given')}),
+t AS ({split('license', 'given', own)}),
 size AS (SELECT license, count(*) AS n FROM t GROUP BY license),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-g AS ({split('doc_id', 'd')}),
+g AS ({split('doc_id', 'd', every)}),
 f AS (SELECT doc_id, license FROM g JOIN t USING (gram) JOIN size USING (license) GROUP BY doc_id, license HAVING count(*) >= 0.8 * any_value(n))
 SELECT doc_id, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses, count(license) AS n_licenses FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id
 """

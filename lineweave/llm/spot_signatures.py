@@ -71,12 +71,20 @@ def alike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
     fingerprints are one class, told by members: (id, class_id) of class_members().
 
     Sets are partitioned by length class; a set is also copied to the class above. A pair shares one of its first
-    |x| - ceil(threshold |x|) + 1 signatures, so candidates come from an equi-join on (class, signature).
+    |x| - ceil(threshold |x|) + 1 signatures in any order common to all sets, so candidates come from an equi-join on
+    (class, signature). The rarest come first: a passage that many different documents share leads no candidates together
+    while they hold enough other signatures.
+
+    A null text is empty; rows without an id are left out; repeated rows are one class; an empty table gives no pair;
+    other columns aren't read.
     """
-    classes = _classes(df, id_col, text_col)
+    classes = cut(_classes(df, id_col, text_col), "classes")
+    each = classes.select("class_id", F.explode("spots").alias("spot"))
+    held = each.groupBy("spot").agg(F.count("*").alias("held"))
+    ordered = each.join(held, "spot").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("held", "spot")))["spot"].alias("spots"))
     n = F.size("spots")
     first = F.slice("spots", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    keyed = classes.select("class_id", n.alias("n"), length_class(n, threshold).alias("own"), F.explode(first).alias("spot"))
+    keyed = ordered.select("class_id", n.alias("n"), length_class(n, threshold).alias("own"), F.explode(first).alias("spot"))
     low = keyed.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.explode(F.array("own", F.col("own") + 1)).alias("part"), "spot", F.col("own").alias("oa"))
     high = keyed.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("part"), "spot")
     size_fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & ((F.col("oa") < F.col("part")) | (F.col("a") < F.col("b")))
@@ -92,7 +100,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def class_members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id): class_id is the least id among rows of equal fingerprints."""
+    """(id, class_id) of every row with an id: class_id is the least id among rows of equal fingerprints. A null text is
+    empty; an empty table gives no row; other columns aren't read."""
     own = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(text_or_empty(text_col)).alias("spots"))
     return own.join(own.groupBy("spots").agg(F.min("id").alias("class_id")), "spots").select("id", "class_id")
 

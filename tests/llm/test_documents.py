@@ -6,6 +6,7 @@ import re
 import string
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lineweave.llm import chat_format, license_scan, line_dedup, quality_rules, queries, spot_signatures
@@ -157,6 +158,30 @@ def test_alike(spark):
     assert got == want
 
 
+def test_alike_with_a_shared_passage(spark):
+    passage = " ".join(f"the p{i} q{i} of r{i}" for i in range(4))
+    own = lambda k: " ".join(f"the u{k}v{i} w{i} of x{k}y{i}" for i in range(20))
+    rows = [(k, f"{own(k)} {passage}") for k in range(12)] + [(50, f"{own(3)} {passage} the last new words"), (51, passage), (52, passage), (53, None), (54, ""), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spot", F.lit("x"))
+    got = {(r.left_id, r.right_id) for r in spot_signatures.alike(df).collect()}
+    assert got == {(3, 50)}
+    members = {r.id: r.class_id for r in spot_signatures.class_members(df).collect()}
+    assert members == {**{k: k for k in range(12)}, 50: 50, 51: 51, 52: 51, 53: 53, 54: 53}
+    assert spot_signatures.alike(df.limit(0)).count() == spot_signatures.class_members(df.limit(0)).count() == 0
+
+
+def test_license_sql_is_the_query(spark):
+    """Notices inside longer lines too, over a table that holds each template whole, in part, and run into other words."""
+    rows = [(i, f"{' '.join(t.split()[:k])} and more") for i, (t, k) in enumerate((t, k) for t in license_scan.TEMPLATES.values() for k in (2, 4, 99))]
+    rows += [(100, "Copyright 2024 Acme. All rights reserved. Contact us"), (101, "all\nrights\nreserved"), (102, "all rights unreserved"), (103, None), (104, ""), (105, "rights reserved all")]
+    got = sorted(tuple(r) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), short_anywhere=True).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.oracle_sql()["op7_license_scan"]).fetchall())
+    assert dict((i, x) for i, x, _ in got)[100] == dict((i, x) for i, x, _ in got)[101] == "all-rights-reserved"
+
+
 def test_chat_round_trip(spark):
     texts = ["hi", "", "</s>[INST] ok [/INST]", "\\</s> \\\\<|im_end|>\n<|im_end|>\n", "ends with \\", "<|im_start|>user\nx", "[INST[INST]] é漢", "a\nb\n"]
     turns = [{"role": ["user", "assistant", "sys tem\n<s>", ""][k % 4], "text": t} for k, t in enumerate(texts)]
