@@ -5,7 +5,9 @@
     class without a shared one links with nothing. The order puts tokens last that many documents of a task hold; any
     order is right, and this one keeps common passages out of prefixes.
 2.  Similar classes are partitioned into groups: by minimum hash, each compared with the leaders of its block, three
-    times with another hash, only one of each group going on.
+    times with another hash, only one of each group going on. Those whose tokens many documents hold lead: of a text and
+    its edited copies it is the text, which all that link with any are likely to link with. Were one edited copy to lead,
+    the others would stay alone and meet each other in the matrix, pair by pair.
 3.  The matrix holds each group's union of prefix tokens, each with the best place that it has in a member's order. A
     document is bound to a group it may link with by the tokens it shares with that union, of which only those count
     that stand early enough, in the document and in the group, to be among the first few that a linked pair shares.
@@ -128,13 +130,21 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     return levels.view(np.uint64)
 
 
-def ordered_prefix(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The prefix of a set in the global order: by level, rare ones first, then by hash."""
+def levels_of(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
     cell = own & np.uint64(CELLS - 1)
-    level = (levels[(cell >> np.uint64(5)).astype(np.int64)] >> (np.uint64(2) * (cell & np.uint64(31))) & np.uint64(3)).astype(np.uint8)
+    return (levels[(cell >> np.uint64(5)).astype(np.int64)] >> (np.uint64(2) * (cell & np.uint64(31))) & np.uint64(3)).astype(np.uint8)
+
+
+def ordered_prefix(own: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the global order: by level, rare ones first, then by hash."""
     return own[np.argsort(level, kind="stable")[: prefix_length(len(own))]]
 
 
+def apart(level: np.ndarray) -> int:
+    """How far a set is from what many documents hold, 0 (all its tokens are of the highest level) to 1000 (all rare)."""
+    return 1000 * int(len(LEVELS) * len(level) - level.sum(dtype=np.int64)) // (len(LEVELS) * len(level))
+
+
 def _bounds() -> dict[str, str]:
     """What a document of n tokens and a group with sets of group_low to group_high tokens must meet to link, as SQL.
 
@@ -156,7 +166,9 @@ def _bounds() -> dict[str, str]:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     n = shuffle_partitions(rows.sparkSession)
-    return rows.select("block", "part", "asks", "id", "text").repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
+    order = ["apart"] if "apart" in rows.columns else []
+    dealt = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), *order, "id")
+    return dealt.select("block", "part", "asks", "id", "text")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -190,9 +202,10 @@ def compare(rows: DataFrame) -> DataFrame:
 
 
 def lead(rows: DataFrame) -> DataFrame:
-    """Links (asked, member) that make stars: rows as for compare(). In a block's part, members that link with no leader
-    become leaders themselves, LEADERS at most; one that links with several joins what they lead. Each member's link
-    is to the first of the block where that is joined to it, else to the least of those joined."""
+    """Links (asked, member) that make stars: rows as for compare(), with apart, by which they come. In a block's part,
+    members that link with no leader become leaders themselves, LEADERS at most; one that links with several joins what
+    they lead. Each member's link is to the first of the block where that is joined to it, else to the first that came
+    of those joined."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leaders, first, up = None, [], None, {}
@@ -208,7 +221,7 @@ def lead(rows: DataFrame) -> DataFrame:
                 joined.setdefault(find(x), []).append(x)
             out = []
             for own in joined.values():
-                root = first if first in own else min(own)
+                root = first if first in own else own[0]
                 out += [(root, x) for x in own if x != root]
             return out
 
@@ -257,18 +270,19 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for body in part.column(3).to_pylist():
                 own = tokens(body)
                 if len(own):
-                    rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), *(int(_scramble(own ^ salt).min().view(np.int64)) for salt in _SALTS), ordered_prefix(own, shared.value).view(np.int64)))
+                    level = levels_of(own, shared.value)
+                    rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), *(int(_scramble(own ^ salt).min().view(np.int64)) for salt in _SALTS), apart(level), ordered_prefix(own, level).view(np.int64)))
                 else:
-                    rows.append((0, None, *[None] * KEYS, None))
-            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * KEYS, pa.list_(pa.int64())]
+                    rows.append((0, None, *[None] * KEYS, None, None))
+            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * KEYS, pa.int32(), pa.list_(pa.int64())]
             columns = [*zip(*rows, strict=True)] or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *map(pa.array, columns, kinds)], names=["given", "id", "row_key", "n_shingles", "digest", *key_names, "prefix"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *map(pa.array, columns, kinds)], names=["given", "id", "row_key", "n_shingles", "digest", *key_names, "apart", "prefix"])
 
     key_names = [f"key{k}" for k in range(KEYS)]
-    described = cut(docs.mapInArrow(describe, f"given {kind}, id long, row_key long, n_shingles long, digest binary, " + "".join(f"{k} long, " for k in key_names) + "prefix array<long>"), "sets")
+    described = cut(docs.mapInArrow(describe, f"given {kind}, id long, row_key long, n_shingles long, digest binary, " + "".join(f"{k} long, " for k in key_names) + "apart int, prefix array<long>"), "sets")
     whole = described.filter("digest is not null and id is not null")
     # equal sets have equal prefixes and keys, so any row's will do; node numbers are fixed once the table is written
-    classes = whole.groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "row_key")).alias("of"), F.any_value("n_shingles").alias("n"), *(F.any_value(k).alias(k) for k in key_names), F.any_value("prefix").alias("prefix"))
+    classes = whole.groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "row_key")).alias("of"), F.any_value("n_shingles").alias("n"), *(F.any_value(k).alias(k) for k in (*key_names, "apart")), F.any_value("prefix").alias("prefix"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     slim = cut(described.select("given", "id", "n_shingles", "digest"), "sizes")
     drop_cut(described)
@@ -282,11 +296,11 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # groups: (rep, head), head the rep that stands for its group
     heads = cut(texts.select("rep", F.col("rep").alias("head")), "heads")
     for key in key_names[:ROUNDS]:
-        now = heads.filter("rep = head").join(classes.select("rep", F.col(key).alias("block")), "rep").select("rep", "block")
-        sizes = now.groupBy("block").agg(F.count("*").alias("size"), F.min("rep").alias("first")).filter("size > 1")
+        now = heads.filter("rep = head").join(classes.select("rep", F.col(key).alias("block"), "apart"), "rep").select("rep", "block", "apart")
+        sizes = now.groupBy("block").agg(F.count("*").alias("size"), F.min(F.struct("apart", "rep"))["rep"].alias("first")).filter("size > 1")
         parts = F.ceil(F.col("size") / PART).cast("int")
-        members = now.join(sizes, "block").filter("rep <> first").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), F.col("rep").alias("id"))
-        asking = sizes.select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("asks"), F.col("first").alias("id"))
+        members = now.join(sizes, "block").filter("rep <> first").select("block", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), F.col("rep").alias("id"), "apart")
+        asking = sizes.select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("asks"), F.col("first").alias("id"), F.lit(0).alias("apart"))
         links = lead(_with_text(members.unionByName(asking), texts))
         to = links.select(F.col("member").alias("old"), F.col("asked").alias("new"))
         fresh = cut(heads.join(to, F.col("head") == F.col("old"), "left").select("rep", F.coalesce("new", "head").alias("head")), "heads")
@@ -325,4 +339,4 @@ def join_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    return rows.join(texts.select(F.col("rep").alias("of"), "text"), F.col("id") == F.col("of")).select("block", "part", "asks", "id", "text")
+    return rows.join(texts.select(F.col("rep").alias("of"), "text"), F.col("id") == F.col("of")).drop("of")

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lineweave.llm import jaccard_join
+from lineweave.llm.common import cut
 from lineweave.llm.jaccard_join import join_groups
 from lineweave.llm.suffix_dedup import remove_repeats
 
@@ -105,6 +106,25 @@ def test_near_copies(spark, monkeypatch):
     assert sorted((tuple(r) for r in join_groups(df).collect()), key=str) == want
 
 
+def test_edited_copies_meet_in_one_group(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(80):  # any two differ too much to link, but each links with the text itself, which has the last id
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(5, 140), 3)):
+            w[at] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    rows.append((80, " ".join(base)))
+    kept = {}
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name: kept.setdefault(name, []).append(cut(df, name)) or kept[name][-1])
+    monkeypatch.setattr(jaccard_join, "drop_cut", lambda *tables: None)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 4)
+    got = join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_groups(rows)
+    assert kept["heads"][-1].filter("rep = head").count() <= 8 and kept["ask"][0].count() <= 2 * len(rows)
+
+
 def test_no_rows(spark):
     assert join_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
