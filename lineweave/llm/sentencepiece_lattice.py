@@ -171,6 +171,26 @@ def share(offset, coded):
     return (offset * 0x9E3779B1 ^ coded) & MASK
 
 
+def fold(parts: Iterator[pa.RecordBatch], path: str, byte_ids: list[int]) -> Iterator[pa.RecordBatch]:
+    """Batches of (segment, n, edges) as (segment, ids, packed, code, n), in small slices: an edge is four Python numbers."""
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for part in slices(parts):
+        segs, found = part.column(0).to_pylist(), part.column(2)
+        own_edges = found.flatten()  # of this slice
+        first, last, score, piece = (own_edges.field(k).to_pylist() for k in range(4))
+        ends, ids = found.offsets.to_pylist(), []
+        ends = [x - ends[0] for x in ends]
+        for k, segment in enumerate(segs):
+            if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
+                lead = segment.startswith(SPACE)
+                ids.append(library.encode(segment.replace(SPACE, " ")[1:]) if lead else _without_lead(library, segment))
+            else:
+                own = slice(ends[k], ends[k + 1])
+                ids.append(merge_fold(segment, dict(zip(zip(first[own], last[own], strict=True), zip(score[own], piece[own], strict=True), strict=True)), byte_ids))
+        packed = [b"".join([i.to_bytes(4, "little") for i in x]) for x in ids]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(map(code, ids), pa.int64()), part.column(1)], names=["segment", "ids", "packed", "code", "n"])
+
+
 def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) -> DataFrame:
     """(segment, ids, packed: the ids as bytes, code, n) of every distinct segment."""
     table = Pieces(path)
@@ -179,23 +199,10 @@ def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) ->
     whole = edges(vocabulary.select("segment", n.alias("n")), pieces, table.longest)
     byte_ids = table.bytes
 
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        for part in parts:
-            segs, found = part.column(0).to_pylist(), part.column(2)
-            first, last, score, piece = (found.values.field(k).to_pylist() for k in range(4))
-            ends, ids = found.offsets.to_pylist(), []
-            for k, segment in enumerate(segs):
-                if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
-                    lead = segment.startswith(SPACE)
-                    ids.append(library.encode(segment.replace(SPACE, " ")[1:]) if lead else _without_lead(library, segment))
-                else:
-                    own = slice(ends[k], ends[k + 1])
-                    ids.append(merge_fold(segment, dict(zip(zip(first[own], last[own], strict=True), zip(score[own], piece[own], strict=True), strict=True)), byte_ids))
-            packed = [b"".join([i.to_bytes(4, "little") for i in x]) for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(map(code, ids), pa.int64()), part.column(1)], names=["segment", "ids", "packed", "code", "n"])
-
-    return whole.mapInArrow(fold, "segment string, ids array<int>, packed binary, code long, n long")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold(parts, path, byte_ids)
+
+    return whole.mapInArrow(run, "segment string, ids array<int>, packed binary, code long, n long")
 
 
 def _without_lead(library: sentencepiece.SentencePieceProcessor, segment: str) -> list[int]:

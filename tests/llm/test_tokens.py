@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -124,6 +125,18 @@ def test_sentencepiece_is_the_librarys(spark, monkeypatch):
     assert got == digests
 
 
+def test_lattices_are_folded_in_small_slices():
+    table = sentencepiece_lattice.Pieces(PIECE)
+    pieces = {p: (s, i) for p, i, s in table.rows}
+    segs = [f"\u2581word{k}" for k in range(600)] + ["\u2581" + "long" * 20] * 40
+    edges = [[dict(zip(("first", "last", "score", "id"), (a, z, *pieces[s[a:z]]))) for a in range(len(s)) for z in range(a + 1, len(s) + 1) if s[a:z] in pieces] if len(s) <= sentencepiece_lattice.LONGEST else [] for s in segs]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("id", pa.int32())]))
+    part = pa.RecordBatch.from_arrays([pa.array(segs), pa.array([1] * len(segs), pa.int64()), pa.array(edges, kind)], names=["segment", "n", "edges"])
+    out = [*sentencepiece_lattice.fold(iter([part]), PIECE, table.bytes)]
+    assert max(x.num_rows for x in out) <= 256 and [s for x in out for s in x.column(0).to_pylist()] == segs
+    assert [i for x in out for i in x.column(1).to_pylist()] == [table.model.encode(s[1:]) for s in segs]
+
+
 def test_sentencepiece_ids_and_back(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece_lattice, "COMMON", 40)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
