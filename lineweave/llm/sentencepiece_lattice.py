@@ -10,23 +10,24 @@ keeps those that are pieces, and the edges of a segment are grouped into its lat
 
 The encodings of the commonest segments, a fixed number, go to every task; those of the others are joined to the
 documents that hold them. A document's ids are those of its segments in their order; decoding takes them back to text.
+Python works on whole slices of documents or segments at a time, as arrays, with a string made for each distinct word only.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lineweave.llm.common import cut, slices, text_or_empty
+from lineweave.llm.common import cut, drop_cut, slices, text_or_empty
 
 SPACE = "▁"
 #: The commonest segments, whose encodings every task may hold: at most so many of at most so many characters.
@@ -34,8 +35,8 @@ COMMON, LONGEST_COMMON = 200_000, 48
 #: Segments longer than this (text without cuts) aren't exploded but encoded by the library itself.
 LONGEST = 64
 MASK = (1 << 40) - 1
-#: Words that a task counts before it tells them, and words whose encoding a task remembers.
-COUNTED, REMEMBERED = 150_000, 60_000
+#: Segments that a task counts before it tells them, and documents that it takes at a time.
+COUNTED, TAKEN = 150_000, 512
 
 
 class Pieces:
@@ -76,37 +77,90 @@ def segments(text: str, follows: dict[str, str]) -> list[str]:
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... (sizes[0] of them), then those from starts[1] on, and so forth."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 class Cutter:
-    """Text -> its words (marked spaces and what follows them), and a word -> its segments."""
+    """Texts -> their words (marked spaces and what follows them), and words -> their segments."""
 
     def __init__(self, follows: dict[str, str]):
         self.follows = follows
         self.safe = not any(SPACE in bs for a, bs in follows.items() if a != SPACE)
-
-    def segments(self, word: str) -> list[str]:
-        return segments(word, self.follows)
+        chars = sorted({*follows, *"".join(follows.values())})
+        self.place = np.zeros(0x110000, np.uint16 if len(chars) < 65535 else np.uint32)  # 0: in no pair
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, bs in follows.items():
+            self.joined[self.place[ord(a)], self.place[[ord(b) for b in bs]]] = True
+
+    def segments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The segments of words, none of them empty, one word after the other, and how many each word has."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        text, sizes = "".join(words), np.fromiter(map(len, words), np.int64, len(words))
+        place = self.place[code_points(text)]
+        first = np.ones(len(place), bool)
+        first[1:] = ~self.joined[place[:-1], place[1:]]
+        begins = np.cumsum(sizes) - sizes
+        first[begins] = True
+        at = [*np.flatnonzero(first).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:], strict=False)], np.add.reduceat(first, begins, dtype=np.int64)
 
     def words(self, text: str) -> list[str]:
         marked = normalized(text)
         return WORD.findall(marked) if self.safe else [marked] if marked else []
 
-
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """words (segment and other keys) with edges: array of (first, last, score, id), the segment's substrings that are
-    pieces, by an equi-join; none for segments of over LONGEST characters.
-
-    first and last are character places, last exclusive. pieces is as large as the model, whatever the corpus. Where
-    words are already dealt by segment, as a count of them leaves them, nothing is shuffled.
+    def coded(self, bodies: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words that hold every word of the texts, the texts' words as places in that list, and each text's number of words.
+
+        Texts of single spaces between words are split and numbered by Arrow, the others by ``words``.
+        """
+        odd = pc.or_(pc.or_(pc.match_substring(bodies, "  "), pc.match_substring(bodies, SPACE)), pc.or_(pc.starts_with(bodies, " "), pc.equal(bodies, "")))
+        odd = odd.to_numpy(zero_copy_only=False) if self.safe else np.ones(len(bodies), bool)
+        parted = pc.split_pattern(bodies.filter(pa.array(~odd)), " ")
+        numbered = parted.flatten().dictionary_encode()
+        words = [SPACE + w for w in numbered.dictionary.to_pylist()]
+        others = [self.words(t) for t in bodies.filter(pa.array(odd)).to_pylist()]
+        number: dict[str, int] = {}
+        late = np.array([number.setdefault(w, len(number)) for own in others for w in own], np.int64) + len(words)
+        sizes = np.zeros(len(bodies), np.int64)
+        sizes[~odd], sizes[odd] = pc.list_value_length(parted).to_numpy(zero_copy_only=False), [len(own) for own in others]
+        begins = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        out[spread(begins[~odd], sizes[~odd])] = numbered.indices.to_numpy(zero_copy_only=False)
+        out[spread(begins[odd], sizes[odd])] = late
+        return words + [*number], out, sizes
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
+    """words (segment and other columns) with first, last, score, id: a row for each of the segment's substrings of at least
+    ``shortest`` characters that is a piece, by an equi-join, and one for an empty substring, without id. Segments
+    of over LONGEST characters have only that one.
+
+    first and last are character places, last exclusive. pieces is as large as the model, whatever the corpus. Nothing is
+    shuffled: a segment's rows stay together, the empty substring's first.
     """
     n = F.char_length("segment")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: F.struct(i.alias("first"), (i + k).alias("last")))))
-    none = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")))  # an empty substring, so that every segment meets a row
-    exploded = words.select("*", F.explode(F.when((n > 0) & (n <= LONGEST), F.concat(none, spans)).otherwise(none)).alias("x"))
-    cut_out = exploded.select(*words.columns, "x.first", "x.last", F.expr("substring(segment, x.first + 1, x.last - x.first)").alias("piece"))
+    starts = words.select("*", F.explode(F.when(n <= LONGEST, F.sequence(F.lit(-1), n - 1)).otherwise(F.array(F.lit(-1)))).alias("first"))
+    sizes = F.when(F.col("first") < 0, F.array(F.lit(0))).when(n - F.col("first") >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), n - F.col("first"))))
+    spans = starts.select("*", F.explode(sizes).alias("size"))
+    cut_out = spans.select(*words.columns, F.greatest("first", F.lit(0)).alias("first"), "size", F.expr("substring(segment, first + 1, size)").alias("piece"))
     empty = pieces.limit(1).select(F.lit("").alias("piece"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("double").alias("score"))
     met = cut_out.join(F.broadcast(pieces.filter("piece <> ''").unionByName(empty)), "piece")
+    return met.select(*words.columns, "first", (F.col("first") + F.col("size")).alias("last"), "score", "id")
+
+
+def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """words (segment and other keys) with edges: array of (first, last, score, id), the rows of ``lattice`` that have an id."""
     edge = F.when(F.col("id").isNotNull(), F.struct("first", "last", "score", "id"))
-    return met.groupBy(*words.columns).agg(F.collect_list(edge).alias("edges"))
+    return lattice(words, pieces, longest).groupBy(*words.columns).agg(F.collect_list(edge).alias("edges"))
 
 
 def viterbi(edges_col: Column, n: Column, unknown: float = -100.0) -> Column:
@@ -131,19 +185,71 @@ def viterbi(edges_col: Column, n: Column, unknown: float = -100.0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), walk, back, lambda w: w["ids"])
 
 
-def merge_fold(segment: str, lattice: dict[tuple[int, int], tuple[float, int]], byte_ids: list[int]) -> list[int]:
-    """BPE over a segment's lattice: the best edge over two neighbours joins them, the leftmost of equals, until none does."""
-    cuts = [*range(len(segment) + 1)]
-    while len(cuts) > 2:
-        ways = [(-found[0], k) for k in range(len(cuts) - 2) if (found := lattice.get((cuts[k], cuts[k + 2])))]
-        if not ways:
-            break
-        del cuts[min(ways)[1] + 1]
-    out: list[int] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        found = lattice.get((a, b))
-        out += [found[1]] if found else [byte_ids[x] for x in segment[a:b].encode()]
-    return out
+class Merger:
+    """BPE over the lattices of many segments: the best edge over two neighbours joins them, the leftmost of equals, until
+    none does. Segments of equal length take their steps together."""
+
+    def __init__(self, path: str):
+        table = Pieces(path)
+        self.longest, self.bytes, self.model = table.longest, table.bytes, table.model
+        scores = np.full(table.model.get_piece_size(), -np.inf)
+        scores[[i for _, i, _ in table.rows]] = [x for *_, x in table.rows]
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)  # equal scores have equal ranks
+        self.single = {p: i for p, i, _ in table.rows if len(p) == 1}
+
+    def spell(self, segment: str) -> list[int]:
+        return [y for x in segment for y in ([self.single[x]] if x in self.single else [self.bytes[z] for z in x.encode()])]
+
+    def fold(self, segs: list[str], of: np.ndarray, first: np.ndarray, last: np.ndarray, piece: np.ndarray) -> list[list[int]]:
+        """The ids of each segment; edge k lies in segment of[k]. Single characters need no edge."""
+        sizes = np.fromiter(map(len, segs), np.int64, len(segs))
+        out: list[list[int]] = [[]] * len(segs)
+        long = last - first > 1
+        of, first, last, piece = of[long], first[long], last[long], piece[long]
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            if n > LONGEST:
+                for k in own.tolist():
+                    out[k] = self._whole(segs[k])
+                continue
+            row = np.full(len(segs), -1, np.int64)
+            row[own] = np.arange(len(own))
+            mine = row[of] >= 0
+            found = np.full((len(own), n + 1, self.longest + 1), -1, np.int32)  # by row, first place, number of characters
+            found[row[of[mine]], first[mine], (last - first)[mine]] = piece[mine]
+            for k, ids in zip(own.tolist(), self._steps([segs[k] for k in own.tolist()], n, found), strict=True):
+                out[k] = ids
+        return out
+
+    def _steps(self, segs: list[str], n: int, found: np.ndarray) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(segs)
+        who, cuts, worst = np.arange(len(segs)), np.tile(np.arange(n + 1), (len(segs), 1)), np.iinfo(np.int32).max
+        while len(who):
+            m = cuts.shape[1]
+            if m > 2:
+                width = cuts[:, 2:] - cuts[:, :-2]
+                ways = found[who[:, None], cuts[:, :-2], np.minimum(width, self.longest)]
+                ranks = np.where((ways >= 0) & (width <= self.longest), self.rank[ways], worst)
+                best = ranks.argmin(1)
+                on = ranks[np.arange(len(who)), best] < worst
+            else:
+                on = np.zeros(len(who), bool)
+            for k, own in zip(who[~on].tolist(), cuts[~on].tolist(), strict=True):
+                ids = []
+                for a, b in zip(own, own[1:], strict=False):
+                    ids += [int(found[k, a, b - a])] if b - a > 1 else self.spell(segs[k][a:b])
+                out[k] = ids
+            if not on.any():
+                break
+            stay = np.ones((int(on.sum()), m), bool)
+            stay[np.arange(len(stay)), best[on] + 1] = False
+            who, cuts = who[on], cuts[on][stay].reshape(-1, m - 1)
+        return out
+
+    def _whole(self, segment: str) -> list[int]:
+        if segment.startswith(SPACE):  # the library puts a space in front, which is not the segment's
+            return self.model.encode(segment.replace(SPACE, " ")[1:])
+        return self.model.encode("\n" + segment.replace(SPACE, " "))[2:]  # behind a line break, which no piece joins to anything
 
 
 def decode(pieces: list[str]) -> str:
@@ -163,7 +269,11 @@ def _cutter(path: str) -> Cutter:
 
 
 def code(ids: list[int]) -> int:
-    return xxhash.xxh3_64_intdigest(b"".join(i.to_bytes(4, "little") for i in ids)) & MASK
+    return _code(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def _code(packed: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(packed) & MASK
 
 
 def share(offset, coded):
@@ -171,44 +281,79 @@ def share(offset, coded):
     return (offset * 0x9E3779B1 ^ coded) & MASK
 
 
+def _told(segs: list[str], n: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+    packed = [np.array(x, "<i4").tobytes() for x in ids]
+    return pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), n], names=["segment", "ids", "packed", "n"])
+
+
 def fold(parts: Iterator[pa.RecordBatch], path: str, byte_ids: list[int]) -> Iterator[pa.RecordBatch]:
-    """Batches of (segment, n, edges) as (segment, ids, packed, code, n), in small slices: an edge is four Python numbers."""
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    """Batches of (segment, n, edges), as ``edges`` groups them, as (segment, ids, packed, n), in small slices."""
+    merger = Merger(path)
+    merger.bytes = byte_ids
     for part in slices(parts):
-        segs, found = part.column(0).to_pylist(), part.column(2)
-        own_edges = found.flatten()  # of this slice
-        first, last, score, piece = (own_edges.field(k).to_pylist() for k in range(4))
-        ends, ids = found.offsets.to_pylist(), []
-        ends = [x - ends[0] for x in ends]
-        for k, segment in enumerate(segs):
-            if len(segment) > LONGEST:  # the library puts a space in front, which is not the segment's
-                lead = segment.startswith(SPACE)
-                ids.append(library.encode(segment.replace(SPACE, " ")[1:]) if lead else _without_lead(library, segment))
-            else:
-                own = slice(ends[k], ends[k + 1])
-                ids.append(merge_fold(segment, dict(zip(zip(first[own], last[own], strict=True), zip(score[own], piece[own], strict=True), strict=True)), byte_ids))
-        packed = [b"".join([i.to_bytes(4, "little") for i in x]) for x in ids]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(map(code, ids), pa.int64()), part.column(1)], names=["segment", "ids", "packed", "code", "n"])
+        found = part.column(2)
+        own = found.flatten()  # of this slice
+        first, last, _, piece = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        of = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        segs = part.column(0).to_pylist()
+        yield _told(segs, part.column(1), merger.fold(segs, of, first, last, piece))
+
+
+def fold_rows(parts: Iterator[pa.RecordBatch], path: str, some: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of (number, segment, n, first, last, id), the rows of ``lattice``, as (segment, ids, packed, n). A segment's number is
+    its own and rises from one to the next; segment and n stand in its first row only. ``some``: segments at a time."""
+    merger, kept = Merger(path), None
+    step, before = 16 * some, -1
+
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        heads = pc.is_valid(rows.column(1)).to_numpy(zero_copy_only=False)
+        tail = rows.filter(pa.array(~heads))
+        heads_only = rows.filter(pa.array(heads))
+        of = (np.cumsum(heads) - 1)[~heads]
+        segs = heads_only.column(1).to_pylist()
+        return _told(segs, heads_only.column(2), merger.fold(segs, of, *(tail.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))))
+
+    for part in parts:
+        for at in range(0, part.num_rows, step):
+            rows = part.slice(at, step)
+            number, heads = rows.column(0).to_numpy(), pc.is_valid(rows.column(1)).to_numpy(zero_copy_only=False)
+            if number[0] < before or (np.diff(number, prepend=before) > 0).tolist() != heads.tolist():
+                raise RuntimeError("the rows of a segment don't stand together")
+            before = int(number[-1])
+            if kept is not None:
+                rows = pa.Table.from_batches([kept, rows]).combine_chunks().to_batches()[0]
+                heads = pc.is_valid(rows.column(1)).to_numpy(zero_copy_only=False)
+            split = int(np.flatnonzero(heads)[-1])  # the last segment may go on in the next rows
+            if split:
+                yield told(rows.slice(0, split))
+            kept = rows.slice(split)
+    if kept is not None:
+        yield told(kept)
 
 
 def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) -> DataFrame:
-    """(segment, ids, packed: the ids as bytes, code, n) of every distinct segment."""
+    """(segment, ids, packed: the ids as bytes, n) of every distinct segment."""
     table = Pieces(path)
     pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")
     n = F.col("n") if "n" in vocabulary.columns else F.lit(1).cast("long")
-    whole = edges(vocabulary.select("segment", n.alias("n")), pieces, table.longest)
-    byte_ids = table.bytes
+    numbered = vocabulary.select(F.monotonically_increasing_id().alias("number"), "segment", n.alias("n"))
+    head = F.col("id").isNull()
+    rows = lattice(numbered, pieces, table.longest, 2).select("number", F.when(head, F.col("segment")).alias("segment"), F.when(head, F.col("n")).alias("n"), "first", "last", F.coalesce("id", F.lit(-1)).alias("id"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fold(parts, path, byte_ids)
+        return fold_rows(parts, path)
+
+    return rows.mapInArrow(run, "segment string, ids array<int>, packed binary, n long")
 
-    return whole.mapInArrow(run, "segment string, ids array<int>, packed binary, code long, n long")
 
+class Common:
+    """The encodings of the commonest segments, as a few arrays."""
 
-def _without_lead(library: sentencepiece.SentencePieceProcessor, segment: str) -> list[int]:
-    """Ids of a segment that doesn't begin with a space: behind a line break, which no piece joins to anything."""
-    ids = library.encode("\n" + segment.replace(SPACE, " "))
-    return ids[2:]
+    def __init__(self, segs: list[str], packed: list[bytes]):
+        self.segs = segs
+        self.ids = np.frombuffer(b"".join(packed), "<i4")
+        self.sizes = np.array([len(x) // 4 for x in packed], np.int64)
+        self.codes = np.array([_code(x) for x in packed], np.uint64)
 
 
 def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,95 +370,106 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).alias("given"), text.alias("own_text"), F.xxhash64(F.col(id_col), text).alias("row_key"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter_, words = _cutter(model_path), Counter()
+        cutter_, found = _cutter(model_path), {}
         def told() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for w, n in words.items():
-                for x in cutter_.segments(w):
-                    found[x] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["segment", "n"])
-
-        for part in slices(parts):
-            for body in part.column(0).to_pylist():
-                words.update(cutter_.words(body))
-                if len(words) > COUNTED:
-                    yield told()
-        if words:
+            out = pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["segment", "n"])
+            found.clear()
+            return out
+
+        for part in slices(parts, TAKEN):
+            words, places, _ = cutter_.coded(part.column(0))
+            segs, sizes = cutter_.segments(words)
+            for x, n in zip(segs, np.repeat(np.bincount(places, minlength=len(words)), sizes).tolist(), strict=True):
+                found[x] = found.get(x, 0) + n
+            if len(found) > COUNTED:
+                yield told()
+        if found:
             yield told()
 
     vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     encoded = cut(encode_vocabulary(spark, vocabulary, model_path).drop("ids"), "encoded")
     common = encoded.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON)
-    known = {r["segment"]: (bytes(r["packed"]), r["code"].to_bytes(8, "little")) for r in common.select("segment", "packed", "code").collect()}
-    shared = spark.sparkContext.broadcast(known)  # COMMON entries at most
+    known = common.select("segment", "packed").toArrow()
+    shared = spark.sparkContext.broadcast(Common(known.column(0).to_pylist(), known.column(1).to_pylist()))  # COMMON entries at most
+    del known
 
     def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The segments of each row that aren't among the common ones."""
-        cutter_, held = _cutter(model_path), shared.value
-        ways: dict[str, tuple[str, ...]] = {}
-        for part in slices(parts):
-            keys, segs = [], []
-            for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                rare: set[str] = set()
-                for w in set(cutter_.words(body)):
-                    if (way := ways.get(w)) is None:
-                        if len(ways) >= REMEMBERED:
-                            ways.clear()
-                        way = ways[w] = tuple(x for x in cutter_.segments(w) if x not in held)
-                    if way:
-                        rare.update(way)
-                keys += [key] * len(rare)
-                segs += rare
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segs, pa.string())], names=["row_key", "segment"])
+        cutter_, held = _cutter(model_path), {*shared.value.segs}
+        for part in slices(parts, TAKEN):
+            words, places, sizes = cutter_.coded(part.column(1))
+            segs, counts = cutter_.segments(words)
+            number: dict[str, int] = {}
+            own = np.array([-1 if x in held else number.setdefault(x, len(number)) for x in segs], np.int64)
+            rare = np.add.reduceat(own >= 0, np.cumsum(counts) - counts, dtype=np.int64) if len(words) else counts
+            ends = np.cumsum(rare)
+            own, row = own[own >= 0], np.repeat(np.arange(len(sizes)), sizes)
+            some = rare[places] > 0
+            row, at = row[some], places[some]
+            pairs = np.unique(np.repeat(row, rare[at]) * max(1, len(number)) + own[spread((ends - rare)[at], rare[at])])
+            row, at = np.divmod(pairs, max(1, len(number)))
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row], pa.int64()), pa.array([*number], pa.string()).take(pa.array(at))], names=["row_key", "segment"])
 
     cold = docs.select("row_key", "own_text").mapInArrow(look_up, "row_key long, segment string")
-    met = cold.join(encoded.select("segment", "packed", "code"), "segment")
-    rest = met.groupBy("row_key").agg(F.collect_list(F.struct("segment", "packed", "code")).alias("rare"))
-    dealt = docs.join(rest.hint("shuffle_hash"), "row_key", "left").select("given", "own_text", "rare.segment", "rare.packed", "rare.code")
+    met = cold.join(encoded.select("segment", "packed"), "segment")
+    rest = cut(met.groupBy("row_key").agg(F.collect_list(F.struct("segment", "packed")).alias("rare")), "rare")
+    drop_cut(encoded)
+
+    def shrink(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts compressed, for the shuffle."""
+        for part in slices(parts, TAKEN):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_small(x) for x in part.column(2).to_pylist()], pa.binary())], names=["given", "row_key", "small"])
+
+    small = docs.select("given", "row_key", "own_text").mapInArrow(shrink, f"given {kind}, row_key long, small binary")
+    dealt = small.join(rest.hint("shuffle_hash"), "row_key", "left").select("given", "small", "rare.segment", "rare.packed")
 
     def assemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of the words of each row, put together in their order."""
-        cutter_, held = _cutter(model_path), shared.value
-        ways: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-        for part in parts:
-            bodies, rares = part.column(1).to_pylist(), [part.column(k) for k in (2, 3, 4)]
-            for at in range(0, len(bodies), 256):
-                ids, digests = [], []
-                some = zip(bodies[at : at + 256], *(x.slice(at, 256).to_pylist() for x in rares), strict=True)
-                for body, *rare in some:
-                    words = cutter_.words(body)
-                    own = {x: (y, z.to_bytes(8, "little")) for x, y, z in zip(*rare, strict=True)} if rare[0] else {}
-                    here: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-                    found = []
-                    for w in words:
-                        if (way := ways.get(w)) is None and (way := here.get(w)) is None:
-                            segs = cutter_.segments(w)
-                            got, size, sizes = [held.get(x) or own[x] for x in segs], 0, []
-                            for x in segs:
-                                sizes.append(size.to_bytes(8, "little"))
-                                size += len(x)
-                            way = (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]), b"".join(sizes), len(segs))
-                            if all(x in held for x in segs):  # the others are the row's own
-                                if len(ways) >= REMEMBERED:
-                                    ways.clear()
-                                ways[w] = way
-                            else:
-                                here[w] = way
-                        found.append(way)
-                    ids.append(np.frombuffer(b"".join([x[0] for x in found]), "<i4"))
-                    sizes = np.fromiter(map(len, words), np.uint64, len(words))
-                    starts = np.repeat(np.cumsum(sizes, dtype=np.uint64) - sizes, np.array([x[3] for x in found], np.int64))
-                    places = starts + np.frombuffer(b"".join([x[2] for x in found]), "<u8")
-                    codes = np.frombuffer(b"".join([x[1] for x in found]), "<u8")
-                    digests.append(int(share(places, codes).sum(dtype=np.uint64)) & MASK)
-                ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 256), part.column(1).slice(at, 256), lists, pa.array(digests, pa.int64())], names=["given", "own_text", "ids", "ids_digest"])
+        cutter_, base = _cutter(model_path), shared.value
+        held = {x: k for k, x in enumerate(base.segs)}
+        for part in slices(parts, TAKEN):
+            bodies = pa.array([_large(x) for x in part.column(1).to_pylist()], pa.string())
+            words, places, sizes = cutter_.coded(bodies)
+            segs, counts = cutter_.segments(words)
+            packed = dict(zip(part.column(2).flatten().to_pylist(), part.column(3).flatten().to_pylist(), strict=True))
+            own = {x: len(held) + k for k, x in enumerate(packed)}
+            which = np.array([held[x] if x in held else own[x] for x in segs], np.int64)
+            more = Common([], [*packed.values()])
+            flat, each = np.concatenate([base.ids, more.ids]), np.concatenate([base.sizes, more.sizes])
+            begins, codes = np.cumsum(each) - each, np.concatenate([base.codes, more.codes])[which]
+            chars = np.fromiter(map(len, segs), np.int64, len(segs))
+            at = spread((np.cumsum(counts) - counts)[places], counts[places])  # every segment of the texts, in order
+            per_row = _sums(counts[places], sizes)
+            ends = np.cumsum(chars[at])
+            starts = np.cumsum(per_row) - per_row  # of the rows, among the segments
+            before = np.concatenate([[0], ends])[starts]
+            offsets = (ends - chars[at] - np.repeat(before, per_row)).astype(np.uint64)
+            digests = _sums(share(offsets, codes[at]), per_row) & np.uint64(MASK)
+            kinds = which[at]
+            ids = flat[spread(begins[kinds], each[kinds])]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(_sums(each[kinds], per_row))]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), bodies, lists, pa.array(digests.astype(np.int64))], names=["given", "own_text", "ids", "ids_digest"])
 
     return dealt.mapInArrow(assemble, f"given {kind}, own_text string, ids array<int>, ids_digest long").select(F.col("given").alias(id_col), F.col("own_text").alias(text_col), "ids", "ids_digest")
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of so many values, one after the other; of no values 0. Unsigned numbers wrap around."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+    return total[ends] - total[ends - sizes]
+
+
+def _small(text: str) -> bytes:
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _large(small: bytes) -> str:
+    return pa.decompress(small[8:], int.from_bytes(small[:8], "little"), "zstd", asbytes=True).decode()
+
+
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """df with one more column, the text that the ids of each row spell; control pieces spell nothing."""
     schema = StructType([*df.schema.fields, StructField(to, StringType())])
@@ -326,10 +482,14 @@ def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "
             raw[i] = p.encode()
         for value, i in enumerate(table.bytes):
             raw[i] = bytes([value])
-        for part in parts:
+        spelt = pa.array(raw, pa.large_binary())
+        for part in slices(parts, TAKEN):
             lists = part.column(place)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            texts = [b"".join([raw[i] for i in flat[a:b]]).decode(errors="replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
+            said = spelt.take(lists.flatten())  # the bytes of all rows, one after the other
+            ends = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1, 8 * said.offset)
+            ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])].tolist()
+            whole = said.buffers()[2].to_pybytes() if said.buffers()[2] else b""
+            texts = [whole[a:b].decode(errors="replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(spell, schema)

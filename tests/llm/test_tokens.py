@@ -137,6 +137,35 @@ def test_lattices_are_folded_in_small_slices():
     assert [i for x in out for i in x.column(1).to_pylist()] == [table.model.encode(s[1:]) for s in segs]
 
 
+def test_words_and_segments_of_slices():
+    cutter = sentencepiece_lattice.Cutter(sentencepiece_lattice.Pieces(PIECE).follows)
+    bodies = ["", " ", "a  b", "a b. b", "x\u2581y", " a", "b ", *texts(300, 12)]
+    words, places, sizes = cutter.coded(pa.array(bodies, pa.string()))
+    assert [words[k] for k in places] == [w for t in bodies for w in cutter.words(t)] and sizes.tolist() == [len(cutter.words(t)) for t in bodies]
+    segs, counts = cutter.segments(words)
+    assert segs == [s for w in words for s in sentencepiece_lattice.segments(w, cutter.follows)]
+    assert counts.tolist() == [len(sentencepiece_lattice.segments(w, cutter.follows)) for w in words]
+
+
+def test_lattice_rows_need_no_grouping(spark):
+    """A lattice's edges reach the fold as they are joined: no aggregation holds or sorts them, in whatever batches they come."""
+    table = sentencepiece_lattice.Pieces(PIECE)
+    pieces = {p: i for p, i, _ in table.rows}
+    segs = [*{s for t in texts(200, 21) for s in sentencepiece_lattice.segments(sentencepiece_lattice.normalized(t), table.follows)}]
+    rows = []
+    for k, s in enumerate(segs):
+        rows += [(k, s, 1, 0, 0, -1)] + [(k, None, None, a, z, pieces[s[a:z]]) for a in range(len(s)) for z in range(a + 2, len(s) + 1) if s[a:z] in pieces]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["number", "segment", "n", "first", "last", "id"])
+    want = {s: r.ids for s, r in ((r.segment, r) for r in sentencepiece_lattice.encode_vocabulary(spark, spark.createDataFrame([(s,) for s in segs], "segment string"), PIECE).collect())}
+    for size in (1, 7, len(rows)):
+        out = [*sentencepiece_lattice.fold_rows((whole.slice(k, size) for k in range(0, len(rows), size)), PIECE, 50)]
+        assert [s for x in out for s in x.column(0).to_pylist()] == segs and [i for x in out for i in x.column(1).to_pylist()] == [want[s] for s in segs]
+    with pytest.raises(RuntimeError):
+        [*sentencepiece_lattice.fold_rows(iter([whole.take([*range(1, len(rows)), 0])]), PIECE)]
+    plan = sentencepiece_lattice.encode_vocabulary(spark, spark.createDataFrame([("a",)], "segment string"), PIECE)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+
+
 def test_sentencepiece_ids_and_back(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece_lattice, "COMMON", 40)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
