@@ -10,7 +10,7 @@ keeps those that are pieces, and the edges of a segment are grouped into its lat
 
 The encodings of the commonest segments, a fixed number, go to every task; those of the others are joined to the
 documents that hold them. A document's ids are those of its segments in their order; decoding takes them back to text.
-Python works on whole slices of documents or segments at a time, as arrays, with a string made for each distinct word only.
+Python works on whole slices of documents or segments at a time, as arrays: no string is made for a word or segment of a text.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ COMMON, LONGEST_COMMON = 200_000, 48
 #: Segments longer than this (text without cuts) aren't exploded but encoded by the library itself.
 LONGEST = 64
 MASK = (1 << 40) - 1
-#: Segments that a task counts before it tells them, and documents that it takes at a time.
-COUNTED, TAKEN = 150_000, 512
+#: Segments that a task counts before it tells them; documents that it takes at a time, and bytes.
+COUNTED, TAKEN, TAKEN_BYTES = 150_000, 2048, 6 << 20
 
 
 class Pieces:
@@ -100,43 +100,55 @@ class Cutter:
         for a, bs in follows.items():
             self.joined[self.place[ord(a)], self.place[[ord(b) for b in bs]]] = True
 
-    def segments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The segments of words, none of them empty, one word after the other, and how many each word has."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        text, sizes = "".join(words), np.fromiter(map(len, words), np.int64, len(words))
-        place = self.place[code_points(text)]
-        first = np.ones(len(place), bool)
-        first[1:] = ~self.joined[place[:-1], place[1:]]
-        begins = np.cumsum(sizes) - sizes
+    def segments(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The segments of words, none of them empty, one word after the other; how many each word has; their characters."""
+        if not len(words):
+            return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        points = code_points(str(_bytes(words), "utf-8"))
+        place = self.place[points]
+        first = np.ones(len(place) + 1, bool)
+        first[1:-1] = ~self.joined[place[:-1], place[1:]]
+        wide = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64))
+        begins = np.cumsum(sizes := pc.utf8_length(words).to_numpy().astype(np.int64)) - sizes
         first[begins] = True
-        at = [*np.flatnonzero(first).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(at, at[1:], strict=False)], np.add.reduceat(first, begins, dtype=np.int64)
+        at = np.flatnonzero(first)
+        ends = np.concatenate([[0], wide])[at].astype(np.int32)
+        segs = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(ends), pa.py_buffer(_bytes(words)))
+        return segs, np.add.reduceat(first[:-1], begins, dtype=np.int64), np.diff(at)
 
     def words(self, text: str) -> list[str]:
         marked = normalized(text)
         return WORD.findall(marked) if self.safe else [marked] if marked else []
 
-    def coded(self, bodies: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def coded(self, bodies: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Words that hold every word of the texts, the texts' words as places in that list, and each text's number of words.
 
         Texts of single spaces between words are split and numbered by Arrow, the others by ``words``.
         """
         odd = pc.or_(pc.or_(pc.match_substring(bodies, "  "), pc.match_substring(bodies, SPACE)), pc.or_(pc.starts_with(bodies, " "), pc.equal(bodies, "")))
         odd = odd.to_numpy(zero_copy_only=False) if self.safe else np.ones(len(bodies), bool)
-        parted = pc.split_pattern(bodies.filter(pa.array(~odd)), " ")
+        parted = pc.split_pattern(bodies.filter(pa.array(~odd)) if odd.any() else bodies, " ")
         numbered = parted.flatten().dictionary_encode()
-        words = [SPACE + w for w in numbered.dictionary.to_pylist()]
+        words = pc.binary_join_element_wise(SPACE, numbered.dictionary, "")
+        own, indices = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64), numbered.indices.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return words, indices, own
         others = [self.words(t) for t in bodies.filter(pa.array(odd)).to_pylist()]
         number: dict[str, int] = {}
-        late = np.array([number.setdefault(w, len(number)) for own in others for w in own], np.int64) + len(words)
+        late = np.array([number.setdefault(w, len(number)) for found in others for w in found], np.int64) + len(words)
         sizes = np.zeros(len(bodies), np.int64)
-        sizes[~odd], sizes[odd] = pc.list_value_length(parted).to_numpy(zero_copy_only=False), [len(own) for own in others]
+        sizes[~odd], sizes[odd] = own, [len(found) for found in others]
         begins = np.cumsum(sizes) - sizes
         out = np.empty(int(sizes.sum()), np.int64)
-        out[spread(begins[~odd], sizes[~odd])] = numbered.indices.to_numpy(zero_copy_only=False)
+        out[spread(begins[~odd], own)] = indices
         out[spread(begins[odd], sizes[odd])] = late
-        return words + [*number], out, sizes
+        return pa.concat_arrays([words, pa.array([*number], pa.string())]), out, sizes
+
+
+def _bytes(texts: pa.Array) -> memoryview:
+    """The bytes of texts, one after the other."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    return memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
@@ -268,6 +280,15 @@ def _cutter(path: str) -> Cutter:
     return _cutters[path]
 
 
+_mergers: dict[str, Merger] = {}
+
+
+def _merger(path: str) -> Merger:
+    if path not in _mergers:
+        _mergers[path] = Merger(path)
+    return _mergers[path]
+
+
 def code(ids: list[int]) -> int:
     return _code(b"".join(i.to_bytes(4, "little") for i in ids))
 
@@ -288,7 +309,7 @@ def _told(segs: list[str], n: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
 
 def fold(parts: Iterator[pa.RecordBatch], path: str, byte_ids: list[int]) -> Iterator[pa.RecordBatch]:
     """Batches of (segment, n, edges), as ``edges`` groups them, as (segment, ids, packed, n), in small slices."""
-    merger = Merger(path)
+    merger = _merger(path)
     merger.bytes = byte_ids
     for part in slices(parts):
         found = part.column(2)
@@ -302,7 +323,7 @@ def fold(parts: Iterator[pa.RecordBatch], path: str, byte_ids: list[int]) -> Ite
 def fold_rows(parts: Iterator[pa.RecordBatch], path: str, some: int = 4096) -> Iterator[pa.RecordBatch]:
     """Batches of (number, segment, n, first, last, id), the rows of ``lattice``, as (segment, ids, packed, n). A segment's number is
     its own and rises from one to the next; segment and n stand in its first row only. ``some``: segments at a time."""
-    merger, kept = Merger(path), None
+    merger, kept = _merger(path), None
     step, before = 16 * some, -1
 
     def told(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -370,21 +391,25 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).alias("given"), text.alias("own_text"), F.xxhash64(F.col(id_col), text).alias("row_key"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter_, found = _cutter(model_path), {}
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["segment", "n"])
-            found.clear()
-            return out
+        cutter_, found, new, waiting = _cutter(model_path), None, [], 0
+
+        def merged() -> pa.Table:
+            whole = pa.concat_tables([*([] if found is None else [found]), *new])
+            new.clear()
+            return whole.group_by("segment", use_threads=False).aggregate([("n", "sum")]).rename_columns(["segment", "n"])
 
-        for part in slices(parts, TAKEN):
+        for part in slices(parts, TAKEN, TAKEN_BYTES):
             words, places, _ = cutter_.coded(part.column(0))
-            segs, sizes = cutter_.segments(words)
-            for x, n in zip(segs, np.repeat(np.bincount(places, minlength=len(words)), sizes).tolist(), strict=True):
-                found[x] = found.get(x, 0) + n
-            if len(found) > COUNTED:
-                yield told()
-        if found:
-            yield told()
+            segs, sizes, _ = cutter_.segments(words)
+            new.append(pa.table({"segment": segs, "n": pa.array(np.repeat(np.bincount(places, minlength=len(words)), sizes), pa.int64())}))
+            waiting += len(segs)
+            if waiting > 2 * COUNTED:
+                found, waiting = merged(), 0
+                if len(found) > COUNTED:
+                    yield from found.to_batches()
+                    found = None
+        if new or found is not None:
+            yield from merged().to_batches()
 
     vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     encoded = cut(encode_vocabulary(spark, vocabulary, model_path).drop("ids"), "encoded")
@@ -395,21 +420,20 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The segments of each row that aren't among the common ones."""
-        cutter_, held = _cutter(model_path), {*shared.value.segs}
-        for part in slices(parts, TAKEN):
+        cutter_, held = _cutter(model_path), pa.array(shared.value.segs, pa.string())
+        for part in slices(parts, TAKEN, TAKEN_BYTES):
             words, places, sizes = cutter_.coded(part.column(1))
-            segs, counts = cutter_.segments(words)
-            number: dict[str, int] = {}
-            own = np.array([-1 if x in held else number.setdefault(x, len(number)) for x in segs], np.int64)
-            rare = np.add.reduceat(own >= 0, np.cumsum(counts) - counts, dtype=np.int64) if len(words) else counts
-            ends = np.cumsum(rare)
-            own, row = own[own >= 0], np.repeat(np.arange(len(sizes)), sizes)
+            segs, counts, _ = cutter_.segments(words)
+            unheld = pc.invert(pc.is_in(segs, value_set=held))
+            number = segs.filter(unheld).dictionary_encode()
+            own, rare = number.indices.to_numpy(zero_copy_only=False), _sums(unheld.to_numpy(zero_copy_only=False).astype(np.int64), counts)
             some = rare[places] > 0
-            row, at = row[some], places[some]
-            pairs = np.unique(np.repeat(row, rare[at]) * max(1, len(number)) + own[spread((ends - rare)[at], rare[at])])
-            row, at = np.divmod(pairs, max(1, len(number)))
+            row, at = np.repeat(np.arange(len(sizes)), sizes)[some], places[some]
+            of = max(1, len(number.dictionary))
+            pairs = np.unique(np.repeat(row, rare[at]) * of + own[spread((np.cumsum(rare) - rare)[at], rare[at])])
+            row, at = np.divmod(pairs, of)
             keys = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row], pa.int64()), pa.array([*number], pa.string()).take(pa.array(at))], names=["row_key", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row], pa.int64()), number.dictionary.take(pa.array(at))], names=["row_key", "segment"])
 
     cold = docs.select("row_key", "own_text").mapInArrow(look_up, "row_key long, segment string")
     met = cold.join(encoded.select("segment", "packed"), "segment")
@@ -418,7 +442,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def shrink(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts compressed, for the shuffle."""
-        for part in slices(parts, TAKEN):
+        for part in slices(parts):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_small(x) for x in part.column(2).to_pylist()], pa.binary())], names=["given", "row_key", "small"])
 
     small = docs.select("given", "row_key", "own_text").mapInArrow(shrink, f"given {kind}, row_key long, small binary")
@@ -427,18 +451,18 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def assemble(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of the words of each row, put together in their order."""
         cutter_, base = _cutter(model_path), shared.value
-        held = {x: k for k, x in enumerate(base.segs)}
-        for part in slices(parts, TAKEN):
+        held = pa.array(base.segs, pa.string())
+        for part in slices(parts, TAKEN // 2, TAKEN_BYTES // 4):
             bodies = pa.array([_large(x) for x in part.column(1).to_pylist()], pa.string())
             words, places, sizes = cutter_.coded(bodies)
-            segs, counts = cutter_.segments(words)
+            segs, counts, chars = cutter_.segments(words)
             packed = dict(zip(part.column(2).flatten().to_pylist(), part.column(3).flatten().to_pylist(), strict=True))
-            own = {x: len(held) + k for k, x in enumerate(packed)}
-            which = np.array([held[x] if x in held else own[x] for x in segs], np.int64)
+            which = pc.index_in(segs, value_set=held)
+            own = pc.add(pc.index_in(segs, value_set=pa.array([*packed], pa.string())), pa.scalar(len(held), pa.int32()))
+            which = pc.coalesce(which, own).to_numpy()  # every segment is among one of both
             more = Common([], [*packed.values()])
             flat, each = np.concatenate([base.ids, more.ids]), np.concatenate([base.sizes, more.sizes])
             begins, codes = np.cumsum(each) - each, np.concatenate([base.codes, more.codes])[which]
-            chars = np.fromiter(map(len, segs), np.int64, len(segs))
             at = spread((np.cumsum(counts) - counts)[places], counts[places])  # every segment of the texts, in order
             per_row = _sums(counts[places], sizes)
             ends = np.cumsum(chars[at])
@@ -483,7 +507,7 @@ def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "
         for value, i in enumerate(table.bytes):
             raw[i] = bytes([value])
         spelt = pa.array(raw, pa.large_binary())
-        for part in slices(parts, TAKEN):
+        for part in slices(parts, TAKEN // 2, TAKEN_BYTES):
             lists = part.column(place)
             said = spelt.take(lists.flatten())  # the bytes of all rows, one after the other
             ends = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1, 8 * said.offset)

@@ -141,9 +141,10 @@ def test_words_and_segments_of_slices():
     cutter = sentencepiece_lattice.Cutter(sentencepiece_lattice.Pieces(PIECE).follows)
     bodies = ["", " ", "a  b", "a b. b", "x\u2581y", " a", "b ", *texts(300, 12)]
     words, places, sizes = cutter.coded(pa.array(bodies, pa.string()))
-    assert [words[k] for k in places] == [w for t in bodies for w in cutter.words(t)] and sizes.tolist() == [len(cutter.words(t)) for t in bodies]
-    segs, counts = cutter.segments(words)
-    assert segs == [s for w in words for s in sentencepiece_lattice.segments(w, cutter.follows)]
+    assert [words[k].as_py() for k in places] == [w for t in bodies for w in cutter.words(t)] and sizes.tolist() == [len(cutter.words(t)) for t in bodies]
+    segs, counts, chars = cutter.segments(words)
+    words, segs = words.to_pylist(), segs.to_pylist()
+    assert chars.tolist() == [*map(len, segs)] and segs == [s for w in words for s in sentencepiece_lattice.segments(w, cutter.follows)]
     assert counts.tolist() == [len(sentencepiece_lattice.segments(w, cutter.follows)) for w in words]
 
 
