@@ -197,13 +197,18 @@ def viterbi(edges_col: Column, n: Column, unknown: float = -100.0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), walk, back, lambda w: w["ids"])
 
 
+def width(model: sentencepiece.SentencePieceProcessor) -> str:
+    """The numbers that ids are packed as."""
+    return "<u2" if model.get_piece_size() <= 1 << 16 else "<i4"
+
+
 class Merger:
     """BPE over the lattices of many segments: the best edge over two neighbours joins them, the leftmost of equals, until
     none does. Segments of equal length take their steps together."""
 
     def __init__(self, path: str):
         table = Pieces(path)
-        self.longest, self.bytes, self.model = table.longest, table.bytes, table.model
+        self.longest, self.bytes, self.model, self.width = table.longest, table.bytes, table.model, width(table.model)
         scores = np.full(table.model.get_piece_size(), -np.inf)
         scores[[i for _, i, _ in table.rows]] = [x for *_, x in table.rows]
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)  # equal scores have equal ranks
@@ -293,7 +298,7 @@ def code(ids: list[int]) -> int:
     return _code(b"".join(i.to_bytes(4, "little") for i in ids))
 
 
-def _code(packed: bytes) -> int:
+def _code(packed: bytes | memoryview) -> int:
     return xxhash.xxh3_64_intdigest(packed) & MASK
 
 
@@ -302,8 +307,8 @@ def share(offset, coded):
     return (offset * 0x9E3779B1 ^ coded) & MASK
 
 
-def _told(segs: list[str], n: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
-    packed = [np.array(x, "<i4").tobytes() for x in ids]
+def _told(segs: list[str], n: pa.Array, ids: list[list[int]], kind: str) -> pa.RecordBatch:
+    packed = [np.array(x, kind).tobytes() for x in ids]
     return pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary()), n], names=["segment", "ids", "packed", "n"])
 
 
@@ -317,7 +322,7 @@ def fold(parts: Iterator[pa.RecordBatch], path: str, byte_ids: list[int]) -> Ite
         first, last, _, piece = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
         of = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
         segs = part.column(0).to_pylist()
-        yield _told(segs, part.column(1), merger.fold(segs, of, first, last, piece))
+        yield _told(segs, part.column(1), merger.fold(segs, of, first, last, piece), merger.width)
 
 
 def fold_rows(parts: Iterator[pa.RecordBatch], path: str, some: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -332,7 +337,7 @@ def fold_rows(parts: Iterator[pa.RecordBatch], path: str, some: int = 4096) -> I
         heads_only = rows.filter(pa.array(heads))
         of = (np.cumsum(heads) - 1)[~heads]
         segs = heads_only.column(1).to_pylist()
-        return _told(segs, heads_only.column(2), merger.fold(segs, of, *(tail.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))))
+        return _told(segs, heads_only.column(2), merger.fold(segs, of, *(tail.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))), merger.width)
 
     for part in parts:
         for at in range(0, part.num_rows, step):
@@ -370,11 +375,13 @@ def encode_vocabulary(spark: SparkSession, vocabulary: DataFrame, path: str) ->
 class Common:
     """The encodings of the commonest segments, as a few arrays."""
 
-    def __init__(self, segs: list[str], packed: list[bytes]):
+    def __init__(self, segs: list[str], packed: list[bytes], kind: str):
         self.segs = segs
-        self.ids = np.frombuffer(b"".join(packed), "<i4")
-        self.sizes = np.array([len(x) // 4 for x in packed], np.int64)
-        self.codes = np.array([_code(x) for x in packed], np.uint64)
+        self.ids = np.frombuffer(b"".join(packed), kind).astype("<i4")
+        self.sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(kind).itemsize
+        ends = (4 * np.cumsum(self.sizes)).tolist()
+        view = memoryview(self.ids.tobytes())
+        self.codes = np.array([_code(view[a:b]) for a, b in zip([0, *ends], ends, strict=False)], np.uint64)
 
 
 def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,7 +393,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     text = text_or_empty(text_col)
-    kind = dict(df.dtypes)[id_col]
+    kind, packing = dict(df.dtypes)[id_col], width(sentencepiece.SentencePieceProcessor(model_file=model_path))
     # rows that share a key only share what is looked up for them
     docs = df.select(F.col(id_col).alias("given"), text.alias("own_text"), F.xxhash64(F.col(id_col), text).alias("row_key"))
 
@@ -412,10 +419,10 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             yield from merged().to_batches()
 
     vocabulary = docs.select("own_text").mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    encoded = cut(encode_vocabulary(spark, vocabulary, model_path).drop("ids"), "encoded")
+    encoded = cut(encode_vocabulary(spark, vocabulary, model_path).drop("ids"), "encoded", codec="zstd")
     common = encoded.filter(F.char_length("segment") <= LONGEST_COMMON).orderBy(F.desc("n"), "segment").limit(COMMON)
     known = common.select("segment", "packed").toArrow()
-    shared = spark.sparkContext.broadcast(Common(known.column(0).to_pylist(), known.column(1).to_pylist()))  # COMMON entries at most
+    shared = spark.sparkContext.broadcast(Common(known.column(0).to_pylist(), known.column(1).to_pylist(), packing))  # COMMON entries at most
     del known
 
     def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +444,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     cold = docs.select("row_key", "own_text").mapInArrow(look_up, "row_key long, segment string")
     met = cold.join(encoded.select("segment", "packed"), "segment")
-    rest = cut(met.groupBy("row_key").agg(F.collect_list(F.struct("segment", "packed")).alias("rare")), "rare")
+    rest = cut(met.groupBy("row_key").agg(F.collect_list(F.struct("segment", "packed")).alias("rare")), "rare", codec="zstd")
     drop_cut(encoded)
 
     def shrink(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +467,7 @@ def encode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             which = pc.index_in(segs, value_set=held)
             own = pc.add(pc.index_in(segs, value_set=pa.array([*packed], pa.string())), pa.scalar(len(held), pa.int32()))
             which = pc.coalesce(which, own).to_numpy()  # every segment is among one of both
-            more = Common([], [*packed.values()])
+            more = Common([], [*packed.values()], packing)
             flat, each = np.concatenate([base.ids, more.ids]), np.concatenate([base.sizes, more.sizes])
             begins, codes = np.cumsum(each) - each, np.concatenate([base.codes, more.codes])[which]
             at = spread((np.cumsum(counts) - counts)[places], counts[places])  # every segment of the texts, in order
@@ -485,13 +492,16 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+_zstd = pa.Codec("zstd", 9)
+
+
 def _small(text: str) -> bytes:
     raw = text.encode()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
 
 
 def _large(small: bytes) -> str:
-    return pa.decompress(small[8:], int.from_bytes(small[:8], "little"), "zstd", asbytes=True).decode()
+    return _zstd.decompress(small[8:], int.from_bytes(small[:8], "little"), asbytes=True).decode()
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
